@@ -53,9 +53,14 @@ def pair_ratings(gold: DataFrame, auto: DataFrame, order: Column | str | None =
 
 
 def domain_table(spark, lang_metrics: Mapping[str, Sequence[str]], datasets: Sequence[str]) -> DataFrame:
-    rows = [(scope, lang, metric) for lang, metrics in lang_metrics.items() for metric in metrics
-            for scope in ["ALL", *datasets]]
-    return spark.createDataFrame(rows, "scope string, lang string, metric string")
+    return spark.range(1).select(F.inline(domain_array(lang_metrics, datasets)))
+
+
+def domain_array(lang_metrics: Mapping[str, Sequence[str]], datasets: Sequence[str]) -> Column:
+    return F.array(*[
+        F.struct(F.lit(scope).alias("scope"), F.lit(lang).alias("lang"), F.lit(metric).alias("metric"))
+        for lang, metrics in lang_metrics.items() for metric in metrics for scope in ["ALL", *datasets]
+    ])
 
 
 def score_rollup(pairs: DataFrame, lang_metrics: Mapping[str, Sequence[str]] = LANG_METRICS,
@@ -78,10 +83,8 @@ def score_rollup(pairs: DataFrame, lang_metrics: Mapping[str, Sequence[str]] = L
     stats = correlations(scoped, [*by, "scope", "lang", "metric"], "value_x", "value_y", "n")
     domain = domain_table(spark, lang_metrics, datasets)
     if by:
-        present = wanted.select(*by).distinct()
-        per_run = F.array(*[F.struct(F.lit(r["scope"]).alias("scope"), F.lit(r["lang"]).alias("lang"),
-                                     F.lit(r["metric"]).alias("metric")) for r in domain.collect()])
-        domain = present.select(*by, F.inline(per_run))
+        runs = stats.select(*by).distinct()
+        domain = runs.select(*by, F.inline(domain_array(lang_metrics, datasets)))
     full = domain.join(stats, [*by, "scope", "lang", "metric"], "left")
     three = [F.coalesce(c, F.lit(float("nan"))) for c in ("kendalltau", "pearson", "spearman")]
     mean = nan_mean(three) if nan_policy == "omit" else (three[0] + three[1] + three[2]) / 3.0
