@@ -28,11 +28,14 @@ GOLD_OF_TARGET = (
 METRIC_ALIASES = {"disagree-flag": "disagree_flag", "disagree": "disagree_flag"}
 LEAD_IN = r"(?i)^(好的，?)?(这是|以下是)?(您要求的)?(简体中文)?翻译[:：]\s*"
 CJK = r"[\x{4e00}-\x{9fff}]"
+# The characters that count as white space.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def strip(text: ColumnLike) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(as_column(text), r"(?U)^\s+|\s+\z", "")
+    return F.btrim(as_column(text), F.lit(SPACES))
 
 
 def clean_text(text: ColumnLike) -> Column:
@@ -41,7 +44,7 @@ def clean_text(text: ColumnLike) -> Column:
 
 
 def collapse_ws(text: ColumnLike) -> Column:
-    return F.trim(F.regexp_replace(as_column(text), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(as_column(text), SPACE_RUN, " "))
 
 
 def join_fields(*fields: ColumnLike) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,6 @@ def score_with(df: DataFrame, load: Callable, column: str = "content", out: str
 
 def rescore_with(df: DataFrame, load: Callable, query: str = "query", passage: str = "text", out: str = "score") -> DataFrame:
     """Adds ``out`` = model(list of queries, list of passages)."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = load()
@@ -39,15 +38,12 @@ def embed_with(df: DataFrame, load: Callable, column: str = "text", out: str = "
                pooling: str = "mean", batch: int = 32) -> DataFrame:
     """Adds ``out``, a float vector. The model maps a list of texts to one array
     of token vectors per text (pooled by "mean" or "first") or to one vector per text."""
-    import pandas as pd
-
     if pooling not in ("mean", "first"):
         raise ValueError("pooling is 'mean' or 'first'")
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
-        import pandas as pd
 
         model = load()
         for texts in batches:

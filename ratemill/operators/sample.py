@@ -170,12 +170,11 @@ def group_kfold(df: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:
 
 
 def with_folds(df: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:
-    folds = group_kfold(df, keys, k).drop("size")
-    match = None
+    folds = group_kfold(df, keys, k).select(*[F.col(c).alias(f"_{c}") for c in keys], "fold")
+    match = F.lit(True)
     for key in keys:
-        part = df[key].eqNullSafe(folds[key])
-        match = part if match is None else match & part
-    return df.join(folds.select(*[F.col(c) for c in keys], "fold"), match).select(*[df[c] for c in df.columns], "fold")
+        match = match & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    return df.join(folds, match).select(*df.columns, "fold")
 
 
 # ---------------------------------------------------------------- oversampling

@@ -289,7 +289,7 @@ def coverage_similarity(targets: DataFrame, pool: DataFrame, metrics: Sequence[s
             starts = np.r_[0, np.flatnonzero(classes[1:] != classes[:-1]) + 1, len(b)]
             for begin in range(0, len(a), 256):
                 part = a.iloc[begin : begin + 256]
-                scores = np.stack(part["vector"].to_numpy()).astype(np.float64) @ matrix.T
+                scores = np.round(np.stack(part["vector"].to_numpy()).astype(np.float64) @ matrix.T, 12)
                 if exclude_same_fold:
                     own = part["fold"].to_numpy()[:, None] == b["fold"].to_numpy()[None, :]
                     low = np.where(own, np.inf, scores).min(axis=1)

@@ -55,7 +55,8 @@ def grid_topk(targets: DataFrame, pool: DataFrame, k: int, rows: int, columns: i
         frames = []
         for start in range(0, len(a), 1024):
             part = a.iloc[start : start + 1024]
-            scores = np.stack(part["vector"].to_numpy()).astype(np.float64) @ matrix.T
+            # Rounded, so that equal vectors tie whatever the blocking of the product.
+            scores = np.round(np.stack(part["vector"].to_numpy()).astype(np.float64) @ matrix.T, 12)
             if exclude_same_fold:
                 own = part["fold"].to_numpy()[:, None] == b["fold"].to_numpy()[None, :]
                 scores[own] = -np.inf

@@ -60,9 +60,9 @@ def read_outputs(spark: SparkSession, path, multi_line: bool = False) -> DataFra
     return spark.read.schema(RAW_OUTPUT).option("multiLine", multi_line).json(path)
 
 
-def read_nodes(spark: SparkSession, path, root: str = "docstore/data") -> DataFrame:
-    """Node map as one row per node; the map of one file is one record."""
-    raw = spark.read.option("wholetext", True).text(path)
+def read_nodes(spark: SparkSession, path, root: str = "docstore/data", whole_file: bool = True) -> DataFrame:
+    """Node maps as one row per node: one map per file or, which can be split, per line."""
+    raw = spark.read.option("wholetext", whole_file).text(path)
     store = F.from_json("value", f"STRUCT<`{root}`: MAP<STRING, {NODE}>>")
     nodes = raw.select(F.posexplode(store[root]).alias("_pos", "node_id", "node"))
     data, meta = F.col("node.__data__"), F.col("node.__data__.metadata")
