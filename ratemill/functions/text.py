@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ratemill.functions.values import ColumnLike, as_column, uniform
+from ratemill.functions.values import ColumnLike, as_column, let, uniform
 
 # Markers and patterns of the prompt and evidence formats.
 TARGET_MARKER = "The sample you need to rate:"
@@ -381,11 +381,13 @@ def group_key(*columns: ColumnLike) -> Column:
 def chunk_array(text: ColumnLike, limit: int) -> Column:
     """Chunks of at most ``limit`` characters, packed from paragraphs or, where
     there is only one paragraph, from sentences; longer pieces are cut hard."""
-    body = strip(text)
-    keep = lambda pieces: F.filter(F.transform(pieces, strip), lambda p: p != "")
-    paragraphs = keep(F.split(body, r"\n{2,}"))
-    sentences = keep(F.split(body, r"(?<=[.;:])(?U)\s+"))
-    pieces = F.when(F.size(paragraphs) > 1, paragraphs).otherwise(sentences)
+    def keep(pieces: Column) -> Column:
+        return F.filter(F.transform(pieces, strip), lambda p: p != "")
+
+    def pieces_of(body: Column) -> Column:
+        sentences = keep(F.split(body, r"(?<=[.;:])(?U)\s+"))
+        return let(keep(F.split(body, r"\n{2,}")), lambda found: F.when(F.size(found) > 1, found).otherwise(sentences))
+
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -403,25 +405,29 @@ def chunk_array(text: ColumnLike, limit: int) -> Column:
             .otherwise(F.struct(acc["done"].alias("done"), joined.alias("buf")))
         )
 
-    packed = F.aggregate(
-        pieces,
-        start,
-        step,
-        lambda acc: F.when(acc["buf"] != "", F.concat(acc["done"], F.array(strip(acc["buf"])))).otherwise(
-            acc["done"]
-        ),
-    )
-    return F.when(F.length(body) <= limit, F.array(body)).otherwise(packed)
+    def packed(body: Column) -> Column:
+        done = F.aggregate(
+            pieces_of(body),
+            start,
+            step,
+            lambda acc: F.when(acc["buf"] != "", F.concat(acc["done"], F.array(strip(acc["buf"])))).otherwise(acc["done"]),
+        )
+        return F.when(F.length(body) <= limit, F.array(body)).otherwise(done)
+
+    return let(strip(text), packed)
 
 
 def overlapping_windows(text: ColumnLike, size: int = 1024, overlap: int = 100) -> Column:
     """Word windows of ``size`` that share ``overlap`` words with the next one."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
-    words = F.filter(F.split(collapse_ws(text), " "), lambda w: w != "")
     step = size - overlap
-    count = F.greatest(F.ceil((F.size(words) - overlap) / F.lit(step)), F.lit(1)).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "),
-    )
+
+    def windows(words: Column) -> Column:
+        count = F.greatest(F.ceil((F.size(words) - overlap) / F.lit(step)), F.lit(1)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "),
+        )
+
+    return let(F.filter(F.split(collapse_ws(text), " "), lambda w: w != ""), windows)

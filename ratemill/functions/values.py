@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,12 @@ def as_column(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often it is used.
+    Inside a lambda a plain column expression would run again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def no_nan(value: ColumnLike) -> Column:
     """NaN counts as missing."""
     return F.nanvl(as_column(value).cast("double"), F.lit(None).cast("double"))
@@ -71,12 +77,19 @@ def label_class(value: ColumnLike, missing_class: int = 0) -> Column:
 
 def expected_value(logits: ColumnLike, values: Sequence[float] = tuple(CLASS_VALUES)) -> Column:
     """Softmax-weighted mean of the class values."""
-    logits = as_column(logits)
-    weights = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
     table = F.array(*[F.lit(float(v)) for v in values])
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
-    top = F.aggregate(F.zip_with(weights, table, lambda w, v: w * v), F.lit(0.0), lambda acc, x: acc + x)
-    return F.try_divide(top, total)
+
+    def add(items: Column) -> Column:
+        return F.aggregate(items, F.lit(0.0), lambda acc, x: acc + x)
+
+    def mean(weights: Column) -> Column:
+        return F.try_divide(add(F.zip_with(weights, table, lambda w, v: w * v)), add(weights))
+
+    def softmax(pair: Column) -> Column:
+        return F.transform(pair["z"], lambda x: F.exp(x - pair["top"]))
+
+    z = as_column(logits)
+    return let(let(z, lambda v: let(F.struct(v.alias("z"), F.array_max(v).alias("top")), softmax)), mean)
 
 
 def argmax_value(logits: ColumnLike, values: Sequence[float] = tuple(CLASS_VALUES)) -> Column:
@@ -95,9 +108,12 @@ def dot(left: ColumnLike, right: ColumnLike) -> Column:
 
 def l2_normalize(vector: ColumnLike) -> Column:
     """Unit vector; a zero vector stays zero."""
-    vector = as_column(vector)
-    norm = F.greatest(F.sqrt(dot(vector, vector)), F.lit(1e-12))
-    return F.transform(vector, lambda x: x.cast("double") / norm)
+
+    def scale(v: Column) -> Column:
+        norm = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12))
+        return let(norm, lambda n: F.transform(v, lambda x: x.cast("double") / n))
+
+    return let(as_column(vector), scale)
 
 
 def mean_pool(vectors: ColumnLike, mask: ColumnLike) -> Column:
@@ -113,7 +129,7 @@ def mean_pool(vectors: ColumnLike, mask: ColumnLike) -> Column:
         lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b),
     )
     weight = F.greatest(F.aggregate(mask, F.lit(0.0), lambda acc, m: acc + m.cast("double")), F.lit(1e-9))
-    return F.transform(total, lambda x: x / weight)
+    return let(weight, lambda w: F.transform(total, lambda x: x / w))
 
 
 def format_value(value: ColumnLike) -> Column:

@@ -111,10 +111,15 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def join_gold_auto(gold: DataFrame, auto: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Inner join in which missing keys match each other; ``value_x`` is gold."""
-    left = gold.select(*keys, *[F.col(c).alias(f"{c}_x") for c in gold.columns if c not in keys])
-    right = auto.select(*[F.col(k).alias(f"_{k}") for k in keys],
-                        *[F.col(c).alias(f"{c}_y") for c in auto.columns if c not in keys])
+    """Inner join in which missing keys match each other. Columns both tables
+    have besides the keys get ``_x`` (gold) and ``_y``."""
+    shared = {c for c in gold.columns if c in auto.columns and c not in keys}
+
+    def name(c: str, suffix: str) -> Column:
+        return F.col(c).alias(f"{c}{suffix}" if c in shared else c)
+
+    left = gold.select(*keys, *[name(c, "_x") for c in gold.columns if c not in keys])
+    right = auto.select(*[F.col(k).alias(f"_{k}") for k in keys], *[name(c, "_y") for c in auto.columns if c not in keys])
     condition = reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_{k}"]) for k in keys])
     return left.join(right, condition, "inner").drop(*[f"_{k}" for k in keys])
 

@@ -272,7 +272,8 @@ def coverage_similarity(targets: DataFrame, pool: DataFrame, metrics: Sequence[s
     fold = ["fold"] if exclude_same_fold else []
     left = targets.select(*fold, "target_id", "vector", _block("target_id", rows).alias("_r"),
                           F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("_c"))
-    right = items.select(*fold, "item_id", "vector", "cls", _block("item_id", columns).alias("_c"),
+    own = [F.col(c).alias(f"item_{c}") for c in [*fold, "vector"]]
+    right = items.select(*own, F.col("item_id").alias("item_key"), "cls", _block("item_id", columns).alias("_c"),
                          F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_r"))
     target_type = targets.schema["target_id"].dataType.simpleString()
     item_type = pool.schema["item_id"].dataType.simpleString()
@@ -283,15 +284,15 @@ def coverage_similarity(targets: DataFrame, pool: DataFrame, metrics: Sequence[s
 
         frames = [pd.DataFrame({"target_id": [], "item_id": [], "cls": [], "similarity": [], "low": [], "high": []})]
         if len(a) and len(b):
-            b = b.sort_values(["cls", "item_id"], kind="stable")
-            matrix = np.stack(b["vector"].to_numpy()).astype(np.float64)
-            ids, classes = b["item_id"].to_numpy(), b["cls"].to_numpy()
+            b = b.sort_values(["cls", "item_key"], kind="stable")
+            matrix = np.stack(b["item_vector"].to_numpy()).astype(np.float64)
+            ids, classes = b["item_key"].to_numpy(), b["cls"].to_numpy()
             starts = np.r_[0, np.flatnonzero(classes[1:] != classes[:-1]) + 1, len(b)]
             for begin in range(0, len(a), 256):
                 part = a.iloc[begin : begin + 256]
                 scores = np.round(np.stack(part["vector"].to_numpy()).astype(np.float64) @ matrix.T, 12)
                 if exclude_same_fold:
-                    own = part["fold"].to_numpy()[:, None] == b["fold"].to_numpy()[None, :]
+                    own = part["fold"].to_numpy()[:, None] == b["item_fold"].to_numpy()[None, :]
                     low = np.where(own, np.inf, scores).min(axis=1)
                     scores = np.where(own, -np.inf, scores)
                 else:

@@ -37,7 +37,9 @@ def grid_topk(targets: DataFrame, pool: DataFrame, k: int, rows: int, columns: i
     fold = ["fold"] if exclude_same_fold else []
     left = targets.select(*extra, *fold, "target_id", "vector", _block("target_id", rows).alias("_r"),
                           F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("_c"))
-    right = pool.select(*extra, *fold, "item_id", "vector", _block("item_id", columns).alias("_c"),
+    # Fresh names: both sides may come from one table, and its columns must not be mixed up.
+    own = [F.col(c).alias(f"item_{c}") for c in [*extra, *fold, "vector"]]
+    right = pool.select(*own, F.col("item_id").alias("item_key"), _block("item_id", columns).alias("_c"),
                         F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_r"))
     target_type = targets.schema["target_id"].dataType.simpleString()
     item_type = pool.schema["item_id"].dataType.simpleString()
@@ -49,16 +51,16 @@ def grid_topk(targets: DataFrame, pool: DataFrame, k: int, rows: int, columns: i
         names = ["target_id", "item_id", "similarity"]
         if not len(a) or not len(b):
             return pd.DataFrame({n: [] for n in names})
-        b = b.sort_values("item_id", kind="stable")
-        matrix = np.stack(b["vector"].to_numpy()).astype(np.float64)
-        ids = b["item_id"].to_numpy()
+        b = b.sort_values("item_key", kind="stable")
+        matrix = np.stack(b["item_vector"].to_numpy()).astype(np.float64)
+        ids = b["item_key"].to_numpy()
         frames = []
         for start in range(0, len(a), 1024):
             part = a.iloc[start : start + 1024]
             # Rounded, so that equal vectors tie whatever the blocking of the product.
             scores = np.round(np.stack(part["vector"].to_numpy()).astype(np.float64) @ matrix.T, 12)
             if exclude_same_fold:
-                own = part["fold"].to_numpy()[:, None] == b["fold"].to_numpy()[None, :]
+                own = part["fold"].to_numpy()[:, None] == b["item_fold"].to_numpy()[None, :]
                 scores[own] = -np.inf
             take = min(k, scores.shape[1])
             # Everything at least as good as the k-th best, so that ties stay whole until ids decide.
@@ -77,8 +79,8 @@ def grid_topk(targets: DataFrame, pool: DataFrame, k: int, rows: int, columns: i
             }))
         return pd.concat(frames, ignore_index=True)
 
-    keys = [*extra, "_r", "_c"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    keys, item_keys = [*extra, "_r", "_c"], [*[f"item_{c}" for c in extra], "_r", "_c"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*item_keys)).applyInPandas(
         best, f"target_id {target_type}, item_id {item_type}, similarity double")
 
 

@@ -31,7 +31,8 @@ def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 
 def read_ratings(spark: SparkSession, path, with_position: bool = True, schema=RATINGS) -> DataFrame:
     """CSV with header; quoted texts may hold line breaks and doubled quotes."""
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    options = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df = spark.read.schema(schema).options(**options).csv(path)
     return df.withColumn("_pos", position()) if with_position else df
 
 
@@ -62,7 +63,7 @@ def read_outputs(spark: SparkSession, path, multi_line: bool = False) -> DataFra
 
 def read_nodes(spark: SparkSession, path, root: str = "docstore/data", whole_file: bool = True) -> DataFrame:
     """Node maps as one row per node: one map per file or, which can be split, per line."""
-    raw = spark.read.option("wholetext", whole_file).text(path)
+    raw = spark.read.text(path, wholetext=whole_file)
     store = F.from_json("value", f"STRUCT<`{root}`: MAP<STRING, {NODE}>>")
     nodes = raw.select(F.posexplode(store[root]).alias("_pos", "node_id", "node"))
     data, meta = F.col("node.__data__"), F.col("node.__data__.metadata")
@@ -101,7 +102,7 @@ def read_scores(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     found = existing(spark, paths)
     if not found:
         return spark.createDataFrame([], "scope string, lang string, metric string, stat string, value double, file string")
-    raw = spark.read.option("wholetext", True).text(found).select(F.col("_metadata.file_path").alias("file"), "value")
+    raw = spark.read.text(found, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     rows = raw.select("file", F.explode(F.from_json("value", "MAP<STRING,DOUBLE>")).alias("key", "value"))
     return parse_score_keys(rows).select("scope", "lang", "metric", "stat", "value", "file")
 

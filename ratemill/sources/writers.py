@@ -17,7 +17,8 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "csv", keys: Sequence
     """Sorted by key; CSV with header and doubled quotes, or parquet."""
     writer = df.orderBy(*keys).write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer.options(**options).csv(path)
     else:
         writer.format(fmt).save(path)
 

@@ -60,7 +60,7 @@ def simple_scores(spark, sf):
     + correlation_ctes("pairs", ["rater_id", "metric"])))
 def correlations_by_rater(spark, sf):
     pairs = R.join_gold_auto(W.ratings(spark, sf).drop("pos"), W.predictions(spark, sf).select(*KEY, "value"))
-    stats = C.correlations(pairs.withColumnRenamed("rater_id_x", "rater_id"), ["rater_id", "metric"], "value_x", "value_y")
+    stats = C.correlations(pairs, ["rater_id", "metric"], "value_x", "value_y")
     return rounded(stats.drop("ties_x", "ties_y"), "kendalltau", "pearson", "spearman")
 
 
