@@ -12,7 +12,7 @@ group. Both ways are exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,64 +136,103 @@ def correlations(df: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", w
     constant side gives 0 for all three. ``weight`` names a column that says how
     often a row counts. Runs two jobs: the cells, and the size of the largest group.
     """
-    cells = cut_lineage(_cells(df, by, x, y, weight))
-    largest = cells.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    sums = _sums_in_task(cells, by) if largest <= small_group else _sums_by_range(cells, by, ranges)
-    return _finish(sums, by)
+    # Own names inside, whatever the caller's columns are called.
+    inner = {c: f"_g{i}" for i, c in enumerate(by)}
+    renamed = df.select(*[F.col(c).alias(n) for c, n in inner.items()], F.col(x).alias("x"), F.col(y).alias("y"),
+                        *([F.col(weight).alias("w")] if weight else []))
+    keys = list(inner.values())
+    cells = cut_lineage(_cells(renamed, keys, "x", "y", "w" if weight else None))
+    sizes = cells.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
+    largest, total = sizes[0] or 0, sizes[1] or 0
+    sums = _sums_in_task(cells, keys, total) if largest <= small_group else _sums_by_range(cells, keys, ranges)
+    return _finish(sums, inner)
 
 
 SUM_COLUMNS = ["rows", "gaps", "concordant", "tx", "ty", "txy", "sxy", "sxx", "syy", "rxy", "rxx", "ryy",
                "min_x", "max_x", "min_y", "max_y"]
+CELLS_PER_TASK = 200_000
 
 
-def _sums_in_task(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The sums of a group from its cells, for groups of checked size."""
+def _sums_in_task(cells: DataFrame, by: Sequence[str], total: int) -> DataFrame:
+    """The sums of whole groups, many small groups to a task, for groups of checked size."""
     by = list(by)
     columns = list(SUM_COLUMNS)
     fields = [f for f in cells.schema.fields if f.name in by]
+    parts = max(cells.sparkSession.sparkContext.defaultParallelism, -(-total // CELLS_PER_TASK))
+    part = F.pmod(F.xxhash64(*by), F.lit(parts)) if by else F.lit(0)
 
-    def group(key, pdf):
+    def groups(pdf):
         import numpy as np
         import pandas as pd
 
-        n, a, b = (pdf[c].to_numpy(dtype=np.float64) for c in ("n", "x", "y"))
-        whole = ~(np.isnan(a) | np.isnan(b))
-        out = dict.fromkeys(columns, float("nan"))
-        out["rows"], out["gaps"] = n.sum(), (n[~whole].sum() if not whole.all() else None)
-        if whole.any():
-            n, a, b = n[whole], a[whole], b[whole]
-            total = n.sum()
-
-            def positions(v):
-                values, at = np.unique(v, return_inverse=True)
-                w = np.bincount(at, weights=n)
-                rank = np.cumsum(w) - w + (w + 1.0) / 2.0
-                return at, rank[at] - (total + 1.0) / 2.0, (w * (w - 1.0) / 2.0).sum(), v - (n * v).sum() / total
-
-            at_x, rx, out["tx"], dx = positions(a)
-            at_y, ry, out["ty"], dy = positions(b)
+        g = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(pdf), dtype=int)
+        count = int(g.max()) + 1
+        first = np.full(count, len(pdf))
+        np.minimum.at(first, g, np.arange(len(pdf)))
+        n, x, y = (pdf[c].to_numpy(dtype=np.float64) for c in ("n", "x", "y"))
+        whole = ~(np.isnan(x) | np.isnan(y))
+
+        def per_group(values, at=None):
+            return np.bincount(g if at is None else at, weights=values, minlength=count)
+
+        gaps = per_group(np.where(whole, 0.0, n))
+        out = {"rows": per_group(n), "gaps": np.where(gaps > 0, gaps, np.nan)}
+        g, n, x, y = g[whole], n[whole], x[whole], y[whole]
+        weight = per_group(n)
+
+        def starts(*keys):
+            """Where a new combination of the sorted keys begins."""
+            new = np.zeros(len(keys[0]), dtype=bool)
+            new[:1] = True
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            return new
+
+        def carry(values, new):
+            """The value at the last beginning, for every place."""
+            return values[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+        def positions(v, axis):
+            order = np.lexsort((v, g))
+            gs, vs = g[order], v[order]
+            run = np.cumsum(starts(gs, vs)) - 1
+            w, rg = np.bincount(run, weights=n[order]), gs[starts(gs, vs)]
+            before, new = np.cumsum(w) - w, starts(rg)
+            rank, dense = np.empty(len(v)), np.empty(len(v), dtype=np.int64)
+            rank[order] = (before - carry(before, new) + (w + 1.0) / 2.0)[run]
+            dense[order] = (np.arange(len(w)) - carry(np.arange(len(w)), new))[run]
+            out[f"t{axis}"] = per_group(w * (w - 1.0) / 2.0, rg)
+            low, high = np.full(count, np.nan), np.full(count, np.nan)
+            low[gs[starts(gs)]] = vs[starts(gs)]
+            high[gs[::-1][starts(gs[::-1])]] = vs[::-1][starts(gs[::-1])]
+            out[f"min_{axis}"], out[f"max_{axis}"] = low, high
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = per_group(n * v) / weight
+            return dense, rank - (weight[g] + 1.0) / 2.0, v - mean[g]
+
+        if len(g):
+            dense_x, rx, dx = positions(x, "x")
+            dense_y, ry, dy = positions(y, "y")
             for name, p, q in (("sxy", dx, dy), ("sxx", dx, dx), ("syy", dy, dy), ("rxy", rx, ry), ("rxx", rx, rx), ("ryy", ry, ry)):
-                out[name] = (n * p * q).sum()
-            out["txy"] = (n * (n - 1.0) / 2.0).sum()
-            concordant = 0.0
-            for level in range(int(at_y.max()).bit_length()):
-                high = at_y >> (level + 1)
-                order = np.lexsort((at_x, high))
-                h, xs = high[order], at_x[order]
-                one = ((at_y[order] >> level) & 1).astype(bool)
+                out[name] = per_group(n * p * q)
+            out["txy"] = per_group(n * (n - 1.0) / 2.0)
+            concordant = np.zeros(count)
+            for level in range(int(dense_y.max()).bit_length()):
+                high = dense_y >> (level + 1)
+                order = np.lexsort((dense_x, high, g))
+                one = ((dense_y[order] >> level) & 1).astype(bool)
                 zeros = np.where(one, 0.0, n[order])
                 before = np.cumsum(zeros) - zeros
-                new_x = np.r_[True, (h[1:] != h[:-1]) | (xs[1:] != xs[:-1])]
-                new_h = np.r_[True, h[1:] != h[:-1]]
-                at_new_x = before[np.flatnonzero(new_x)][np.cumsum(new_x) - 1]
-                at_new_h = before[np.flatnonzero(new_h)][np.cumsum(new_h) - 1]
-                concordant += (n[order] * (at_new_x - at_new_h))[one].sum()
+                smaller = carry(before, starts(g[order], high[order], dense_x[order])) - carry(before, starts(g[order], high[order]))
+                concordant += per_group((n[order] * smaller)[one], g[order][one])
             out["concordant"] = concordant
-            out.update(min_x=a.min(), max_x=a.max(), min_y=b.min(), max_y=b.max())
-        return pd.DataFrame([[*key, *[out[c] for c in columns]]], columns=[*by, *columns])
+        frame = pdf.iloc[first][by].reset_index(drop=True)
+        for c in columns:
+            frame[c] = out.get(c, np.nan)
+        return pd.DataFrame(frame)
 
     schema = T.StructType([*fields, *[T.StructField(c, T.DoubleType()) for c in columns]])
-    return cells.groupBy(*by).applyInPandas(group, schema)
+    return cells.groupBy(part.alias("_part")).applyInPandas(groups, schema)
 
 
 def _sums_by_range(cells: DataFrame, by: Sequence[str], ranges: int) -> DataFrame:
@@ -248,7 +287,8 @@ def _sums_by_range(cells: DataFrame, by: Sequence[str], ranges: int) -> DataFram
     )
 
 
-def _finish(total: DataFrame, by: Sequence[str]) -> DataFrame:
+def _finish(total: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Statistics from sums; ``names`` maps the caller's group columns to ours."""
     count, concordant = F.col("rows"), F.col("concordant")
     pairs = count * (count - 1.0) / 2.0
     discordant = pairs - F.col("tx") - F.col("ty") + F.col("txy") - concordant
@@ -263,7 +303,7 @@ def _finish(total: DataFrame, by: Sequence[str]) -> DataFrame:
         )
 
     return total.select(
-        *by, count.cast("long").alias("n"),
+        *[F.col(ours).alias(theirs) for theirs, ours in names.items()], count.cast("long").alias("n"),
         guarded(tau).alias("kendalltau"),
         guarded(F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))).alias("pearson"),
         guarded(F.try_divide(F.col("rxy"), F.sqrt("rxx") * F.sqrt("ryy"))).alias("spearman"),
