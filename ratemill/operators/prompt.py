@@ -107,11 +107,16 @@ def attach_shots(targets: DataFrame, blocks: DataFrame, on: Sequence[str], boots
 
 def render_prompt(metrics: Sequence[str], variant: str = "gold", query: str = "query_text", candidate: str = "candidate",
                   gold: str = "gold", shots: ColumnLike = "shots") -> Column:
-    """Prompt text of one row. Variants: gold, weighted, evidence (with reference
-    answers), zero_shot and no_image (without)."""
+    """Prompt text of one row. Variants: gold and weighted (reference answers),
+    evidence (reference answers on lines of their own and no examples, ready for
+    retrieved passages), zero_shot and no_image (no reference answers)."""
     if variant not in ("gold", "weighted", "evidence", "zero_shot", "no_image"):
         raise ValueError(f"unknown variant {variant!r}")
-    reference = gold if variant in ("gold", "weighted", "evidence") else None
+    reference = gold if variant in ("gold", "weighted") else None
+    if variant == "evidence":
+        target = F.concat(render_target(query, candidate), F.lit("\nGold doctor responses:\n"),
+                          F.coalesce(as_column(gold), F.lit("(no gold responses available)")), F.lit("\n"))
+        return F.concat(F.lit(header(metrics, variant)), F.lit(closing(metrics)), target)
     examples = F.lit("") if variant == "zero_shot" else F.coalesce(as_column(shots), F.lit(""))
     return F.concat(F.lit(header(metrics, variant)), examples, F.lit(closing(metrics)),
                     render_target(query, candidate, reference))

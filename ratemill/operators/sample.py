@@ -165,6 +165,8 @@ def group_kfold(df: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:
     table = [(r["size"], r["n"]) for r in groups.groupBy("size").agg(F.count("*").alias("n")).collect()]
     quotas = spark.createDataFrame(fold_quotas(table, k) or [(0, 0, 0, 0)], "size long, fold int, first long, last long")
     placed = dense_index(groups, keys, ["size"])
+    # The quotas came through the driver: distinct sizes times folds.
+    quotas = F.broadcast(quotas)
     return placed.join(quotas, (placed["size"] == quotas["size"]) & (placed["idx"] >= quotas["first"])
                        & (placed["idx"] <= quotas["last"])).select(*keys, placed["size"], "fold")
 
@@ -215,7 +217,8 @@ def oversample(df: DataFrame, scheme: str = "adaptive", label: str = "label", by
         ratio = F.floor(largest / F.col("_n"))
         rare = F.col("_n") * ADAPTIVE_RATIO < largest
         table = counts.withColumn("_f", F.when(rare, F.least(ratio, F.lit(ADAPTIVE_LIMIT))).otherwise(1).cast("int")).drop("_n")
-        counted = df.join(table, [*by, label])
+        # One row per metric and class.
+        counted = df.join(F.broadcast(table), [*by, label])
     else:
         raise ValueError(f"unknown scheme {scheme!r}")
     return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_f")))).drop("_f").select(*df.columns, "copy")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratemill.functions.values import metric_bin, uniform
+from ratemill.operators.grouped import map_sorted_groups
 from ratemill.operators.relational import first_rows
 from ratemill.operators.sample import SEED, key_text
 from ratemill.operators.similar import _block, grid_shape, topk_similar
@@ -26,10 +27,15 @@ def normalize_weights(df: DataFrame, by: Sequence[str] = ("target_id",), score:
 
 
 def minmax(df: DataFrame, by: Sequence[str] = ("target_id",), score: str = "similarity", name: str = "scaled") -> DataFrame:
-    """Score scaled to 0..1 within the group; a constant group gives 0."""
-    group = Window.partitionBy(*by)
-    low, high = F.min(score).over(group), F.max(score).over(group)
-    return df.withColumn(name, F.coalesce(F.try_divide(F.col(score) - low, high - low), F.lit(0.0)))
+    """Score scaled to 0..1 within the group; a constant group gives 0. The range
+    comes from a partial aggregate, so a group may be of any size."""
+    limits = df.groupBy(*by).agg(F.min(score).alias("_low"), F.max(score).alias("_high")).select(
+        *[F.col(c).alias(f"_{c}") for c in by], "_low", "_high")
+    match = F.lit(True)
+    for c in by:
+        match = match & df[c].eqNullSafe(limits[f"_{c}"])
+    scaled = F.coalesce(F.try_divide(F.col(score) - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    return df.join(limits, match).withColumn(name, scaled).select(*df.columns, name)
 
 
 def rank_shots(df: DataFrame, by: Sequence[str] = ("target_id", "bootstrap_id"), score: str = "similarity",
@@ -79,11 +85,9 @@ def mmr(targets: DataFrame, pool: DataFrame, k: int, multiplier: int = 5, trade_
 
     def pick(pdf):
         import numpy as np
-        import pandas as pd
 
-        pdf = pdf.sort_values("near_rank").reset_index(drop=True)
         vec = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-        sims = pdf["similarity"].to_numpy()
+        sims, items, near_ranks = (pdf[c].to_numpy() for c in ("similarity", "item_id", "near_rank"))
         race = pdf["race"].to_numpy(dtype=np.float64)
         finite = np.isfinite(race)
         first = int(np.flatnonzero(finite)[np.argmin(race[finite])]) if finite.any() else 0
@@ -96,13 +100,12 @@ def mmr(targets: DataFrame, pool: DataFrame, k: int, multiplier: int = 5, trade_
             chosen.append(best)
             open_rows[best] = False
             worst = np.maximum(worst, vec @ vec[best])
-        out = pdf.iloc[chosen][["target_id", "bootstrap_id", "item_id", "similarity", "near_rank"]].copy()
-        out["rank"] = np.arange(1, len(chosen) + 1)
-        return pd.DataFrame(out)
+        target, boot = pdf["target_id"].iloc[0], pdf["bootstrap_id"].iloc[0]
+        return [(target, boot, items[i], sims[i], near_ranks[i], place) for place, i in enumerate(chosen, 1)]
 
     schema = (f"target_id {types['target_id']}, bootstrap_id int, item_id {types['item_id']}, similarity double, "
               "near_rank int, rank int")
-    return spread.groupBy("target_id", "bootstrap_id").applyInPandas(pick, schema)
+    return map_sorted_groups(spread, ["target_id", "bootstrap_id"], ["near_rank"], pick, schema)
 
 
 # ---------------------------------------------------------------- label balance
@@ -324,15 +327,14 @@ def coverage_similarity(targets: DataFrame, pool: DataFrame, metrics: Sequence[s
     names, share = list(metrics), float(max(len(metrics), 1))
 
     def greedy(pdf):
-        import pandas as pd
-
         low, high = float(pdf["low"].iloc[0]), float(pdf["high"].iloc[0])
         width = high - low
+        target, boot = pdf["target_id"].iloc[0], pdf["bootstrap_id"].iloc[0]
         rows = [(r.item_id, r.dataset, list(zip(names, r.bins)), r.similarity,
                  (r.similarity - low) / width if width > 0 else 0.0, r.noise) for r in pdf.itertuples()]
         covered, seen, out = {}, set(), []
         while rows and len(out) < k:
-            best, best_key = None, None
+            best, best_key, parts = None, None, None
             for row in rows:
                 rarity = sum(1.0 / (1.0 + covered.get(c, 0)) for c in row[2]) / share
                 extra = bonus if seen and row[1] not in seen else 0.0
@@ -344,11 +346,10 @@ def coverage_similarity(targets: DataFrame, pool: DataFrame, metrics: Sequence[s
             seen.add(best[1])
             for c in best[2]:
                 covered[c] = covered.get(c, 0) + 1
-            out.append((pdf["target_id"].iloc[0], pdf["bootstrap_id"].iloc[0], best[0], len(out) + 1, best[3], best[4],
-                        parts[0], parts[1], parts[2]))
-        return pd.DataFrame(out, columns=["target_id", "bootstrap_id", "item_id", "rank", "similarity",
-                                          "similarity_component", "coverage_component", "hybrid_score", "dataset_bonus"])
+            out.append((target, boot, best[0], len(out) + 1, best[3], best[4], *parts))
+        return out
 
-    return spread.groupBy("target_id", "bootstrap_id").applyInPandas(
-        greedy, f"target_id {target_type}, bootstrap_id int, item_id {item_type}, rank int, similarity double, "
+    return map_sorted_groups(
+        spread, ["target_id", "bootstrap_id"], ["item_id"], greedy,
+        f"target_id {target_type}, bootstrap_id int, item_id {item_type}, rank int, similarity double, "
         "similarity_component double, coverage_component double, hybrid_score double, dataset_bonus double")

@@ -22,25 +22,27 @@ BLOCK_ROWS = 20000
 MIN_CELLS = 8
 
 
-def _block(df_id: str, count: int):
+def _block(df_id: str, count):
     return F.floor(uniform("block", F.col(df_id)) * count).cast("int")
 
 
-def grid_topk(targets: DataFrame, pool: DataFrame, k: int, rows: int, columns: int, extra: Sequence[str] = (),
+def grid_topk(targets: DataFrame, pool: DataFrame, k: int, rows, columns, extra: Sequence[str] = (),
               exclude_same_fold: bool = False) -> DataFrame:
     """Best ``k`` pool items per target and grid cell, not yet merged.
 
     Both sides have ``*_id``, ``vector`` and, to leave out a target's own fold,
-    ``fold``. ``extra`` columns (hash table and bucket, say) must agree.
+    ``fold``. ``extra`` columns (hash table and bucket, say) must agree. Block
+    counts are numbers, or columns that both sides have.
     """
+    rows, columns = (F.lit(c) if isinstance(c, int) else F.col(c) for c in (rows, columns))
     extra = list(extra)
     fold = ["fold"] if exclude_same_fold else []
     left = targets.select(*extra, *fold, "target_id", "vector", _block("target_id", rows).alias("_r"),
-                          F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("_c"))
+                          F.explode(F.sequence(F.lit(0), columns - 1)).alias("_c"))
     # Fresh names: both sides may come from one table, and its columns must not be mixed up.
     own = [F.col(c).alias(f"item_{c}") for c in [*extra, *fold, "vector"]]
     right = pool.select(*own, F.col("item_id").alias("item_key"), _block("item_id", columns).alias("_c"),
-                        F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_r"))
+                        F.explode(F.sequence(F.lit(0), rows - 1)).alias("_r"))
     target_type = targets.schema["target_id"].dataType.simpleString()
     item_type = pool.schema["item_id"].dataType.simpleString()
 
@@ -131,10 +133,11 @@ def topk_similar_approx(targets: DataFrame, pool: DataFrame, k: int, tables: int
             ident, "vector", "table", F.try_element_at(vector_to_array("_h"), F.lit(1)).alias("bucket"))
 
     left, right = hashed(targets, "target_id"), hashed(pool, "item_id")
-    largest = right.groupBy("table", "bucket").count().agg(F.max("count")).first()[0] or 1
-    largest_left = left.groupBy("table", "bucket").count().agg(F.max("count")).first()[0] or 1
-    rows, columns = grid_shape(largest_left, largest, block_rows, 1)
-    found = grid_topk(left, right, k, rows, columns, ["table", "bucket"])
+    # Blocks per bucket, so that only a large bucket is cut and its targets copied.
+    key = ["table", "bucket"]
+    count = lambda df, name: df.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int").alias(name))
+    shape = count(left, "rows").join(count(right, "columns"), key)
+    found = grid_topk(left.join(shape, key), right.join(shape, key), k, "rows", "columns", key)
     once = found.groupBy("target_id", "item_id").agg(F.max("similarity").alias("similarity"))
     return topk(once, k)
 

@@ -249,6 +249,14 @@ for _variant in ("gold", "weighted", "zero_shot", "no_image"):
         lambda spark, sf, v=_variant: digest(prompts(spark, sf, v)))
 
 
+@query("render_prompt_evidence", with_views("aligned_items", f"""SELECT doc_id, md5(content) AS digest, CAST(length(content) AS INTEGER) AS chars FROM (SELECT doc_id, {lit_sql(PR.header(PM, 'evidence'))} || {lit_sql(PR.closing(PM))} || 'The sample you need to rate:' || chr(10) || {_Q.format(q='query_text', c='candidate')}
+ || chr(10) || 'Gold doctor responses:' || chr(10) || CASE WHEN len(g) = 0 THEN '[]' ELSE array_to_string(list_transform(g, lambda x, i: CAST(i AS VARCHAR) || '. ' || x), chr(10)) END || chr(10) AS content FROM (SELECT *, {_ITEMS} AS g FROM aligned_items))"""))
+def render_prompt_evidence(spark, sf):
+    """Numbered reference answers and no examples."""
+    rows = prompt_docs(spark, sf).withColumn("gold", TX.parse_list_text(F.to_json("gold_texts")))
+    return digest(rows.withColumn("content", PR.render_prompt(PM, "evidence")))
+
+
 @query("strip_gold_blocks", prompt_sql("gold", stripped=True))
 def strip_gold_blocks(spark, sf):
     """Prompts with reference answers turned into prompts without."""
