@@ -60,7 +60,11 @@ def _spans(column: str) -> Column:
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.train(docs), ["doc_id"])
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(_spans("base").cast("binary"), 256).alias("base_sha256"), _spans("spans").alias("spans"))
 
 

@@ -65,10 +65,13 @@ def matching_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> C
 
 def ngrams(host: Column, path: Column) -> Column:
     """The n-grams, with marks at both ends; a run of digits counts as one sign. None for an empty host and path."""
-    def grams(text: Column, where: str) -> Column:
-        marked = F.when(F.length(text) > 0, F.concat(F.lit("^"), F.regexp_replace(text, "[0-9]+", "0"), F.lit("$"))).otherwise("")
-        own = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i, n=n: F.concat(F.lit(f"{where}{n}"), F.substr(marked, i, F.lit(n)))) for n in GRAMS]
-        return F.when(F.length(text) > 0, F.concat(*own)).otherwise(F.array().cast("array<string>"))
+    def sized(marked: Column, name: str, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.concat(F.lit(f"{name}{n}"), F.substr(marked, i, F.lit(n))))
+
+    def grams(text: Column, name: str) -> Column:
+        marked = F.concat(F.lit("^"), F.regexp_replace(text, "[0-9]+", "0"), F.lit("$"))
+        return F.when(F.length(text) > 0, F.concat(*(sized(marked, name, n) for n in GRAMS))).otherwise(F.array().cast("array<string>"))
 
     return F.concat(grams(host, "h"), grams(path, "p"))
 
@@ -77,7 +80,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=BUCKETS, binary=True, inputCol="ngrams", outputCol="features").transform(rows)
 
 
-def fit(labelled: DataFrame, strength: float = 0.02) -> LogisticRegressionModel | None:
+def fit(labelled: DataFrame, strength: float = 0.01) -> LogisticRegressionModel | None:
     """The model of ``url, label``, a small table made by hand.
 
     Rows with a null url or label are not used. With one class only, or no row,
