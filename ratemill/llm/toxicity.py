@@ -38,6 +38,24 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(g.encode()) & (BUCKETS - 1) for g in grams]
 
 
+#: Factor that keeps the small shares of a text within the range of 16-bit numbers.
+SHARES = 1000.0
+
+
+def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and the share of its words that each has, as 16-bit numbers."""
+    words = Counter(WORD.findall(text.lower()))
+    index: list[int] = []
+    value: list[float] = []
+    for word, n in words.items():
+        own = features(word)
+        index += own
+        value += [n / len(own)] * len(own)
+    dense = np.bincount(np.array(index, np.int64), np.array(value), BUCKETS) * (SHARES / (sum(words.values()) + NEUTRAL))
+    at = np.flatnonzero(dense)
+    return at.astype(np.uint16), dense[at].astype(np.float16)
+
+
 @dataclass
 class Model:
     """``margin`` of each bucket and the bias; the score is the logistic of their sum for a text."""
@@ -62,7 +80,7 @@ class Model:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.logit(Counter(WORD.findall(text.lower())))))))
 
 
-def fit(bags: list[dict[str, int]], labels: list[int], epochs: int = 10, batch: int = 128, rate: float = 0.02, drop: float = 0.2, seed: int = 7) -> Model:
+def fit(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = 10, batch: int = 128, rate: float = 0.02, drop: float = 0.2, seed: int = 7) -> Model:
     """Embeddings and softmax together, by Adam on the class-weighted cross entropy.
 
     Both classes weigh the same, so 0.5 is where both are equally likely if equally
@@ -73,17 +91,6 @@ def fit(bags: list[dict[str, int]], labels: list[int], epochs: int = 10, batch:
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     rng = np.random.default_rng(seed)
-    index: list[np.ndarray] = []
-    value: list[np.ndarray] = []
-    memory: dict[str, list[int]] = {}
-    for bag in bags:
-        total, at, by = sum(bag.values()) + NEUTRAL, [], []
-        for word, n in bag.items():
-            own = memory.setdefault(word, features(word))
-            at += own
-            by += [n / total / len(own)] * len(own)
-        index.append(np.array(at, np.int64))
-        value.append(np.array(by, np.float32))
     scale = 30.0  # means are small: a few words of many decide
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     soft = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
@@ -93,12 +100,13 @@ def fit(bags: list[dict[str, int]], labels: list[int], epochs: int = 10, batch:
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(y))
-        for at in range(0, len(order), batch):
-            rows = order[at:at + batch]
+        for low in range(0, len(order), batch):
+            rows = order[low:low + batch]
             dense = np.zeros((len(rows), BUCKETS), np.float32)
             for k, r in enumerate(rows):
-                dense[k] = np.bincount(index[r], value[r], BUCKETS)
-            dense *= scale / (1 - drop) * (rng.random(BUCKETS, np.float32) >= drop)
+                at, shares = vectors[r]
+                dense[k, at] = shares
+            dense *= scale / SHARES / (1 - drop) * (rng.random(BUCKETS, np.float32) >= drop)
             hidden = dense @ table
             logits = hidden @ soft + bias
             logits -= logits.max(axis=1, keepdims=True)
@@ -120,26 +128,27 @@ def train(docs: DataFrame, labels: DataFrame, keep=None, sample_rows: int = SAMP
     """Fit on labelled documents, whole texts of at most ``sample_rows`` of them.
 
     ``keep`` is a column on ``doc_id`` that says which rows labels may come from.
-    Labels that are null, or of no document, are not used; of repeated ones the
-    higher holds. Which rows are used is fixed by a digest of ``doc_id``. The chosen
+    Tasks turn texts into sparse vectors of at most BUCKETS entries; those reach the driver.
+    Labels that are null, or of no document, are not used; of repeated ones the higher holds. Which rows are used is fixed by a digest of ``doc_id``. The chosen
     ids are broadcast, at most ``sample_rows`` of them.
     """
     import pyarrow as pa
 
-    def bags(batches):
-        for (names,), texts in slices(batches, ["toxic"]):
-            counted = [Counter(WORD.findall(t.lower())) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))], names=["toxic", "words", "counts"])
+    def vectors(batches):
+        for (toxic, keys), texts in slices(batches, ["toxic", "key"]):
+            own = [vector(t) for t in texts]
+            columns = [pa.array(toxic, pa.int32()), pa.array(keys, pa.int64()), pa.array([a.tobytes() for a, _ in own], pa.binary()), pa.array([v.tobytes() for _, v in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "key", "buckets", "shares"])
 
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     if keep is not None:
         known = known.filter(keep)
     known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    found = texts.select("toxic", "text").mapInArrow(bags, "toxic int, words array<string>, counts array<int>").collect()
-    found.sort(key=lambda r: zlib.crc32(" ".join(r["words"]).encode()))
-    return fit([dict(zip(r["words"], r["counts"])) for r in found], [r["toxic"] for r in found])
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", F.xxhash64("doc_id", "text").alias("key"), "text")
+    found = texts.mapInArrow(vectors, "toxic int, key long, buckets binary, shares binary").collect()
+    found.sort(key=lambda r: (r["key"], r["toxic"]))
+    return fit([(np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["shares"], np.float16)) for r in found], [r["toxic"] for r in found])
 
 
 def score_texts(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
