@@ -28,7 +28,7 @@ NEUTRAL = 8
 #: Bound of the labelled rows that are used for fitting, in order of a digest of their id.
 SAMPLE_ROWS = 6000
 #: Words remembered by one worker.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def features(word: str) -> list[int]:

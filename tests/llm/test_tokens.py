@@ -29,7 +29,7 @@ def test_remembered_parts_give_the_ids_of_the_library(name, monkeypatch):
     texts = ODD + [words(rng, rng.randint(0, 60)) for _ in range(200)]
     own = Encoder(public_tokenizers.path(name))
     assert own.spaces
-    for limit in (800_000, 5):
+    for limit in (500_000, 5):
         monkeypatch.setattr("ratemill.llm.tokens.REMEMBERED", limit)
         assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == library(name, texts)
 
