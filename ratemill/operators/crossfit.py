@@ -28,7 +28,8 @@ def cross_fit(df: DataFrame, metrics: Sequence[str], folds: Sequence[int], estim
 
     ``df``: text, label, metric, fold. One model per (metric, fold), trained on
     Spark; ``prepare`` may change the training rows (oversampling). A fold whose
-    training rows hold one class only gets that class.
+    training rows hold one class only gets that class; one without labelled training
+    rows, and rows of no listed metric and fold, get null.
     """
     estimator = estimator or text_classifier()
     parts = []
@@ -39,10 +40,13 @@ def cross_fit(df: DataFrame, metrics: Sequence[str], folds: Sequence[int], estim
             train = prepare(train) if prepare else train
             span = train.agg(F.min("label").alias("a"), F.max("label").alias("b")).first()
             if span["a"] is None:
-                continue
-            if span["a"] == span["b"]:
+                parts.append(held.withColumn("prediction", F.lit(None).cast("double")))
+            elif span["a"] == span["b"]:
                 parts.append(held.withColumn("prediction", F.lit(float(span["a"]))))
             else:
                 model = estimator.fit(train.withColumn("label", F.col("label").cast("double")))
                 parts.append(model.transform(held).select(*held.columns, "prediction"))
+    # Rows of other metrics and folds, and those without either, have no model.
+    asked = F.coalesce(F.col("metric").isin(list(metrics)) & F.col("fold").isin(list(folds)), F.lit(False))
+    parts.append(df.filter(~asked).withColumn("prediction", F.lit(None).cast("double")))
     return reduce(lambda a, b: a.unionByName(b), parts)

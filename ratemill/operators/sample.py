@@ -194,9 +194,16 @@ ADAPTIVE_RATIO = 3
 ADAPTIVE_LIMIT = 10
 
 
+def _null_safe(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with the other columns of ``table``; null keys match each other."""
+    named = table.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return df.join(named, same, "left").drop(*(f"_key_{k}" for k in keys))
+
+
 def oversample(df: DataFrame, scheme: str = "adaptive", label: str = "label", by: Sequence[str] = ("metric",),
-               factors: Mapping[str, Mapping[int, int]] = FIXED_FACTORS) -> DataFrame:
-    """Rows of rare classes repeated; ``copy`` numbers the copies of a row.
+               factors: Mapping[str, Mapping[int, int]] = FIXED_FACTORS, adaptive_ratio: int = ADAPTIVE_RATIO, adaptive_limit: int = ADAPTIVE_LIMIT) -> DataFrame:
+    """Rows of rare classes repeated; ``copy`` numbers the copies of a row. No row is lost; a null is a class.
 
     "fixed": by metric and class, where any data set name holds the trigger
     word. "adaptive": per ``by``, a class that is over three times rarer than
@@ -210,15 +217,14 @@ def oversample(df: DataFrame, scheme: str = "adaptive", label: str = "label", by
                 factor = F.when((F.col("metric") == metric) & (F.col(label) == cls), F.lit(times)).otherwise(factor)
         triggered = df.groupBy(*by).agg(
             F.bool_or(F.contains(F.lower("dataset"), F.lit(FIXED_SCHEME_WORD))).alias("_on"))
-        counted = df.join(triggered, by).withColumn("_f", F.when(F.col("_on"), factor).otherwise(1)).drop("_on")
+        counted = _null_safe(df, triggered, by).withColumn("_f", F.when(F.col("_on"), factor).otherwise(1)).drop("_on")
     elif scheme == "adaptive":
         counts = df.groupBy(*by, label).agg(F.count("*").alias("_n"))
         largest = F.max("_n").over(Window.partitionBy(*by))
         ratio = F.floor(largest / F.col("_n"))
-        rare = F.col("_n") * ADAPTIVE_RATIO < largest
-        table = counts.withColumn("_f", F.when(rare, F.least(ratio, F.lit(ADAPTIVE_LIMIT))).otherwise(1).cast("int")).drop("_n")
-        # One row per metric and class.
-        counted = df.join(F.broadcast(table), [*by, label])
+        rare = F.col("_n") * adaptive_ratio < largest
+        table = counts.withColumn("_f", F.when(rare, F.least(ratio, F.lit(adaptive_limit))).otherwise(1).cast("int")).drop("_n")
+        counted = _null_safe(df, table, [*by, label])
     else:
         raise ValueError(f"unknown scheme {scheme!r}")
     return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_f")))).drop("_f").select(*df.columns, "copy")

@@ -13,14 +13,11 @@ from ratemill.operators.correlate import correlations
 from ratemill.operators.relational import join_gold_auto
 from ratemill.schema import DATASETS, KEY, LANG_METRICS
 
-LONG_TEXT = 64
-
 
 def short_candidate(df: DataFrame) -> DataFrame:
-    """Stand-in for long answer texts inside keys: equal texts stay equal, and a
+    """Digest in place of the answer text inside keys: equal texts stay equal, and a
     shuffle carries 64 characters instead of the whole answer."""
-    text = F.col("candidate")
-    return df.withColumn("candidate", F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text))
+    return df.withColumn("candidate", F.sha2("candidate", 256))
 
 
 def pair_ratings(gold: DataFrame, auto: DataFrame, order: Column | str | None = None,

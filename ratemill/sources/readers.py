@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ratemill.operators.relational import dedupe_last
 from ratemill.schema import NODE, PROGRESS, RATINGS, RAW_OUTPUT
@@ -29,10 +30,23 @@ def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return [p for p in paths if path_class(p).getFileSystem(conf).exists(path_class(p))]
 
 
-def read_ratings(spark: SparkSession, path, with_position: bool = True, schema=RATINGS) -> DataFrame:
-    """CSV with header; quoted texts may hold line breaks and doubled quotes."""
-    options = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df = spark.read.schema(schema).options(**options).csv(path)
+def read_csv(spark: SparkSession, path, schema: StructType, multi_line: bool = True) -> DataFrame:
+    """Columns of ``schema`` by the names in the header, in any order; others are left out.
+
+    A missing column raises; a value that isn't of its type becomes null. Quoted texts
+    may hold line breaks and doubled quotes; without line breaks ``multi_line=False``
+    lets a file be split.
+    """
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df = spark.read.options(**options).csv(path)
+    if missing := [f.name for f in schema if f.name not in df.columns]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return df.select(*(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema))
+
+
+def read_ratings(spark: SparkSession, path, with_position: bool = True, schema: StructType = RATINGS, multi_line: bool = True) -> DataFrame:
+    """Ratings from CSV; see ``read_csv``."""
+    df = read_csv(spark, path, schema, multi_line)
     return df.withColumn("_pos", position()) if with_position else df
 
 

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ratemill.functions.values import no_nan
 from ratemill.schema import KEY
 
-FAILURE_SAMPLE = 500
-
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "csv", keys: Sequence[str] = KEY, mode: str = "error") -> None:
     """Sorted by key; CSV with header and doubled quotes, or parquet."""
@@ -40,11 +38,11 @@ def write_scores(scores: DataFrame, path: str, mode: str = "error") -> None:
     score_map(scores).coalesce(1).write.mode(mode).text(path)
 
 
-def write_failures(failures: DataFrame, path: str, limit: int = FAILURE_SAMPLE, mode: str = "error") -> int:
-    """A sample of the failures goes to ``path``; all of them are counted."""
-    count = failures.count()
-    failures.limit(limit).write.mode(mode).json(path)
-    return count
+def write_failures(failures: DataFrame, path: str, mode: str = "error") -> int:
+    """All failures go to ``path``; the same job counts them."""
+    seen = Observation()
+    failures.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path)
+    return seen.get["n"]
 
 
 def write_provenance(df: DataFrame, path: str, mode: str = "error") -> None:

@@ -156,14 +156,15 @@ def per_bootstrap_scores(spark, sf):
     return rounded(E.per_bootstrap_scores(W.ratings(spark, sf), W.bootstraps(spark, sf), lang_metrics=W.LANG_METRICS, datasets=W.DATASETS))
 
 
-PREFIX_X = 3
+PREFIX_X = W.BOOTSTRAPS
 _PREFIX_PAIRS = f"""{GOLD},
-averaged AS MATERIALIZED (SELECT {KEY_SQL}, CAST(x AS INTEGER) AS b, round(avg(value), 4) AS value FROM bootstraps JOIN (SELECT unnest(range(1, {PREFIX_X + 1})) AS x) ON bootstrap_id < x GROUP BY ALL),
+averaged AS MATERIALIZED (SELECT {KEY_SQL}, CAST(x AS INTEGER) AS b, round(avg(value), 9) AS value FROM bootstraps JOIN (SELECT unnest(range(1, {PREFIX_X + 1})) AS x) ON bootstrap_id < x GROUP BY ALL),
 pairs AS MATERIALIZED (SELECT p.b, g.dataset, g.lang, g.metric, g.value AS x, p.value AS y FROM gold g JOIN averaged p ON {ON_KEY})"""
 
 
 def _prefix(spark, sf):
-    averaged = A.prefix_average(W.bootstraps(spark, sf), PREFIX_X, KEY).withColumn("value", F.round("value", 4))
+    # Nine decimals keep all means apart; they only take away what the order of adding leaves.
+    averaged = A.prefix_average(W.bootstraps(spark, sf), PREFIX_X, KEY).withColumn("value", F.round("value", 9))
     return E.run_scores(W.ratings(spark, sf), averaged, ["x"], W.LANG_METRICS, W.DATASETS)
 
 
