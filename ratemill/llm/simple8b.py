@@ -37,10 +37,14 @@ def pack(ids: np.ndarray) -> np.ndarray:
         return np.empty(0, np.uint64)
     bits = np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), ids, side="right")
     selector, taken = np.zeros(n, np.uint8), np.ones(n, np.int64)
+    wide = np.zeros(n + 61, np.int32)
     for s, (width, count) in reversed(list(enumerate(SELECTORS, 1))):
-        wide = np.concatenate([[0], np.cumsum(bits > width), ])
-        fits = wide[np.minimum(np.arange(n) + count, n)] == wide[:-1]
-        selector[fits], taken[fits] = s, count
+        # Behind the last id nothing is too wide: the last word is filled up.
+        np.cumsum(bits > width, out=wide[1:n + 1])
+        wide[n + 1:] = wide[n]
+        fits = wide[count:count + n] == wide[:n]
+        np.copyto(selector, s, where=fits)
+        np.copyto(taken, count, where=fits)
     ahead, at, starts = (np.arange(n) + taken).tolist(), 0, []
     while at < n:
         starts.append(at)

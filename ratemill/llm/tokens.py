@@ -65,6 +65,7 @@ class Encoder:
             self.spaces = _spaces(json.load(file))
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,8 +88,21 @@ class Encoder:
         if self.spaces == "kept":
             clean = [p for p in parts if p and not p[0].isspace() and not p[-1].isspace()]
             memory.update(dict.fromkeys(parts))
-        if clean:
-            memory.update(zip(clean, self._parted(clean, prefix) if prefix or self.spaces == "dropped" else self.whole(clean)))
+        if not clean:
+            return
+        if memory is self.first and self.spaces == "kept":
+            memory.update(zip(clean, self.whole(clean)))
+            return
+        # A comma or stop behind a letter is a token of its own, and letter case may not count.
+        marked = [(p, p[:-1], p[-1]) if p[-1] in ",." and p[-2:-1].isalpha() else (p, p, "") for p in clean if p]
+        if self.spaces == "dropped":
+            marked = [(p, q.lower() if q.isascii() else q, m) for p, q, m in marked]
+            memory[""] = b""
+        wanted = list({q for _, q, _ in marked if memory.get(q) is None})
+        known = dict(zip(wanted, self._parted(wanted, prefix)))
+        if not self.marks:
+            self.marks = dict(zip(["", ",", "."], self.whole(["", ",", "."])))
+        memory.update({p: (known.get(q) if q in known else memory[q]) + self.marks[m] for p, q, m in marked})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.spaces is None:

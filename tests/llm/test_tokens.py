@@ -11,7 +11,7 @@ from ratemill.llm import packing, simple8b, tokencount
 from ratemill.llm.tokens import Encoder, tokenizer_version
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
-ODD = ["", " ", "  a", "a  b", "a \nb", "foo <|endoftext|> bar", "x<|endoftext|>", "tab\t x", "é ́x", "it's 's", "a b ", "\n\n a", "ab\xa0 c", "x \x1c y", "ΑΣ s", "İ I", "\x01 a \x01", "a\x01b c", "１２ 3a", "don't. 'S"]
+ODD = ["", "Word, word, WORD. word.", "a,. b.. ,. , . é. É,", "x1, 1. -.", " ", "  a", "a  b", "a \nb", "foo <|endoftext|> bar", "x<|endoftext|>", "tab\t x", "é ́x", "it's 's", "a b ", "\n\n a", "ab\xa0 c", "x \x1c y", "ΑΣ s", "İ I", "\x01 a \x01", "a\x01b c", "１２ 3a", "don't. 'S"]
 
 
 def library(name, texts):
