@@ -25,18 +25,37 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.score_texts(docs, model, docs.columns).filter(F.col("score") < REJECTED).select(*docs.columns)
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """All rows with a ``row_key`` of their own, written to scratch: ``doc_id`` may be null or repeated, and verdicts are about rows."""
+    path = scratch_path(spark, "numbered")
+    docs.withColumn("row_key", F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """The texts under their ``row_key``, as operators take them."""
+    return rows.select(F.col("row_key").alias("doc_id"), "text")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates: five-word shingles, similarity 0.8."""
-    judged = setsketch.near_duplicates(docs, scratch_path(spark, "near"), similarity=0.8, width=5)
-    dropped = judged.filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("dropped_id")), "left_anti")
+    """One row, that of the least id, of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    Rows without ``doc_id`` are compared like others and come last; of rows with one id any may stay.
+    """
+    rows = numbered(spark, docs)
+    judged = setsketch.near_duplicates(keyed(rows), scratch_path(spark, "near"), similarity=0.8, width=5)
+    groups = judged.select(F.col("doc_id").alias("row_key"), "component_id").join(rows.select("row_key", "doc_id"), "row_key")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key"))
+    kept = groups.groupBy("component_id").agg(least.alias("first")).select("first.row_key")
+    return rows.join(kept, "row_key", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without 0.8 or more of a benchmark item's five-word shingles."""
-    pairs = contamination.contained_items(docs, table(spark, sf_dir, "benchmark"), scratch_path(spark, "benchmark"))
-    found = pairs.select(F.col("doc_id").alias("found_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti")
+    """Rows without 0.8 or more of a benchmark item's five-word shingles."""
+    rows = numbered(spark, docs)
+    pairs = contamination.contained_items(keyed(rows), table(spark, sf_dir, "benchmark"), scratch_path(spark, "benchmark"))
+    found = pairs.select(F.col("doc_id").alias("row_key")).distinct()
+    return rows.join(found, "row_key", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
