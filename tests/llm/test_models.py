@@ -56,6 +56,27 @@ def test_trees_add_like_forms_and_leave_others(docs_of, odd_rows):
     assert pii.train(docs_of([])) == {} and pii.find(docs_of([]), {}, ["doc_id"]).count() == 0
 
 
+def test_addresses_side_by_side_are_all_proposed_and_redacted(docs_of):
+    def proposed(text):
+        return [text[a:b] for k, a, b in pii.candidates(text, pii.stretches(text)) if k == "email"]
+
+    assert proposed("write ann@a.example.com or bob(at)b.example.com") == ["ann@a.example.com", "bob(at)b.example.com"]
+    assert proposed("ann(at)a.example.com, bob [at] b[dot]example[dot]com; c@d@e.example.com") == ["ann(at)a.example.com", "bob [at] b[dot]example[dot]com", "c@d", "d@e.example.com"]
+    assert proposed("@ (at)x.com @" + "a" * 70 + "@b.com") == ["a" * 64 + "@b.com"]
+    models = pii.train(docs_of(personal(400, random.Random(3))))
+    text = "mail me(at)mail3.example.com, u7.x@mail4.example.com, you(at)mail5.example.com done"
+    assert pii.redact(text, pii.all_spans(text, models)[1]) == "mail <email>, <email>, <email> done"
+
+
+def test_overlaps_are_those_of_all_pairs():
+    rng = random.Random(7)
+    for _ in range(2000):
+        spans = [("ip", a, a + rng.randint(1, 6)) for a in (rng.randrange(40) for _ in range(rng.randint(0, 6)))]
+        a = rng.randrange(45)
+        b = a + rng.randint(1, 6)
+        assert pii.overlaps(pii.joined(spans), a, b) == any(s < b and a < e for _, s, e in spans)
+
+
 def test_boosting_learns_and_and_or():
     rng = np.random.default_rng(1)
     x = rng.random((600, 4))
