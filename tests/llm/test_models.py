@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ratemill.llm import pii, rules, toxicity, urls
 from ratemill.llm.queries import URL_RULES
@@ -169,3 +170,18 @@ def test_urls_of_unseen_hosts(spark, host, blocked):
     pages = spark.createDataFrame([(1, f"http://{host}/en/5")], "page_id long, url string")
     row = urls.judge_urls(pages, [], urls.fit(urls.labelled_urls(spark)), ["page_id"]).first()
     assert (row["verdict"] == "block") == blocked
+
+
+@pytest.mark.parametrize("path,blocked", [("/casino/free-pills", True), ("/buy/adult-videos.html", True), ("/library/winter-hours", False), ("/recipes/garden-bread", False), ("/news/casino-fire", False)])
+def test_urls_whose_only_signal_is_in_the_path(spark, path, blocked):
+    pages = spark.createDataFrame([(1, f"http://neutral.example.com{path}")], "page_id long, url string")
+    row = urls.judge_urls(pages, [], urls.fit(urls.labelled_urls(spark)), ["page_id"]).first()
+    assert (row["verdict"] == "block") == blocked
+
+
+def test_hosts_of_the_judged_table_are_not_labelled(spark):
+    def names(urls_):
+        host = F.regexp_replace(urls.host_of(F.col("url")), r"^(www|m|blog)\.", "")
+        return {r["h"].split(".")[0] for r in urls_.select(host.alias("h")).distinct().collect()}
+
+    assert not names(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")) & names(urls.labelled_urls(spark))
