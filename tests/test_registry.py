@@ -36,3 +36,11 @@ def test_same_as_sql(spark, con, name):
     want = rows_of(columns, cur.fetchall())
     assert sorted(df.columns) == sorted(columns) and len(got) == len(want)
     assert all(same(p, q) for a, b in zip(got, want) for p, q in zip(a, b))
+
+
+def test_evidence_goes_behind_answers_of_many_lines(spark, con):
+    name = "insert_evidence_after_gold_all"
+    got = {tuple(r) for r in entry.queries()[name](spark, SF).select("doc_id", "digest").collect()}
+    assert got == set(con.execute(entry.oracle_sql()[name]).fetchall())
+    assert len(got) == con.execute("SELECT count(DISTINCT doc_id) FROM documents").fetchone()[0]
+    assert len(got) > entry.queries()["insert_evidence_after_gold"](spark, SF).count()

@@ -159,6 +159,21 @@ def insert_evidence_after_gold(spark, sf):
     return rows.select("doc_id", F.when(blank, F.lit("empty")).when(ends, F.concat(F.left("gold", F.lit(1)), F.lit("<<>>"))).otherwise(tail).alias("tail"))
 
 
+def after_gold_sql() -> str:
+    """Every document's whole prompt; the answers end before a blank line with the next part, or before the last line break."""
+    opening = f"{lit_sql(PR.header(PM, 'gold'))} || {lit_sql(PR.closing(PM))} || {lit_sql(TX.TARGET_MARKER)} || chr(10)"
+    blank = r"[ \t\n\x0B\f\r]*"
+    answers = rf"(?is)((?:gold doctor responses|gold responses):{blank}.*?)(?:\n{blank}\n(?:now rate|the sample|\n?$)|\n?$)"
+    return with_views("aligned_items", "SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN content ELSE left(content, length(content) - length(section) + place) || '<<' || CAST(doc_id AS VARCHAR) || '>>' || substr(section, place + 1) END) AS digest FROM placed", f"""{_BASE},
+rendered AS (SELECT doc_id, {opening} || {_Q.format(q='query_text', c='candidate')} || 'gold responses:' || gold || chr(10) AS content FROM base),
+sections AS (SELECT *, {lit_sql(TX.TARGET_MARKER)} || list_extract(string_split(content, {lit_sql(TX.TARGET_MARKER)}), -1) AS section FROM rendered),
+matched AS (SELECT *, regexp_extract(section, {lit_sql(answers)}, 1) AS answers FROM sections),
+placed AS (SELECT *, instr(section, answers) + length(answers) - 1 AS place FROM matched)""")
+
+
+query("insert_evidence_after_gold_all", after_gold_sql())(_insert("after_gold"))
+
+
 @query("augment_prompts", f"WITH {_HITS}, ev AS ({evidence_sql('en')}) SELECT target_id, md5('LLM response:' || chr(10) || query || evidence) AS digest, true AS augmented FROM qv JOIN ev USING (target_id)")
 def augment_prompts(spark, sf):
     prompts = W.table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), F.concat(F.lit("LLM response:\n"), "text").alias("content"))
