@@ -185,3 +185,34 @@ def test_coverage_similarity_in_blocks(spark):
     targets = pool.select(F.col("item_id").alias("target_id"), "vector", "fold")
     a, b = (X.coverage_similarity(targets, pool, METRICS, 4, exclude_same_fold=True, block_rows=n).select("target_id", "rank", "item_id").collect() for n in (6, 20000))
     assert sorted(a) == sorted(b) and len(a) == 120
+
+
+def test_approximate_neighbours_are_whole(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 16))
+    made = centres[rng.integers(0, 6, 120)] + 0.05 * rng.normal(size=(120, 16))
+    made = np.r_[made, [-centres[0], -centres[1]]]
+    made /= np.linalg.norm(made, axis=1)[:, None]
+    rows = [(i, [float(x) for x in v], i % 5) for i, v in enumerate(made)]
+    pool = spark.createDataFrame(rows[:120], "item_id long, vector array<double>, fold int")
+    # The last two lie opposite to all of the pool, and a bucket holds few of the others.
+    targets = spark.createDataFrame(rows, "target_id long, vector array<double>, fold int")
+    for excluded in (False, True):
+        near = N.topk_similar_approx(targets, pool, 5, bucket_length=0.05, exclude_same_fold=excluded).collect()
+        assert collections.Counter(r["target_id"] for r in near) == {i: 5 for i in range(122)}
+        assert all(sorted(r["rank"] for r in near if r["target_id"] == i) == [1, 2, 3, 4, 5] for i in range(122))
+        assert all(abs(made[r["target_id"]] @ made[r["item_id"]] - r["similarity"]) < 1e-9 for r in near)
+        assert not excluded or all(r["target_id"] % 5 != r["item_id"] % 5 for r in near)
+        exact = N.topk_similar(targets, pool, 5, exclude_same_fold=excluded)
+        assert N.recall(spark.createDataFrame(near), exact).first()["recall"] >= 0.9
+    few = N.topk_similar_approx(targets, pool.limit(3), 5)
+    assert few.groupBy("target_id").count().filter("count = 3").count() == 122
+
+
+def test_approximate_query_finds_most_of_the_exact_neighbours(spark):
+    import __spark_entry__ as entry
+
+    near, exact = (entry.queries()[n](spark, "/root/testdata/sf0.01") for n in ("topk_similar_approx", "topk_similar"))
+    assert near.groupBy("target_id").count().filter("count <> 5").count() == 0
+    assert near.select("target_id").distinct().count() == spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").count()
+    assert N.recall(near, exact).first()["recall"] >= 0.9

@@ -179,9 +179,9 @@ def two_stage_topk(spark, sf):
 
 @query("topk_similar_approx")
 def topk_similar_approx(spark, sf):
-    """Neighbours sharing a projection bucket, with the recall against the exact form."""
-    targets, pool = _targets(spark, sf).drop("fold"), W.vectors(spark, sf)
-    return N.recall(N.topk_similar_approx(targets, pool, K), N.topk_similar(targets, pool, K))
+    """Neighbours sharing a projection bucket, and those of all the pool where these are fewer than K."""
+    near = N.topk_similar_approx(_targets(spark, sf), W.vectors(spark, sf), K, exclude_same_fold=True)
+    return _r(near.select("target_id", "item_id", "rank", "similarity"))
 
 
 _WEIGHTED = lambda k: f"weighted AS MATERIALIZED (SELECT *, CASE WHEN sum(greatest(similarity, 0)) OVER w > 0 THEN greatest(similarity, 0) / sum(greatest(similarity, 0)) OVER w ELSE 1.0 / count(*) OVER w END AS weight FROM near WINDOW w AS (PARTITION BY target_id))"
