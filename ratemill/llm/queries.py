@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratemill.llm import contamination, packing, pii, rules, setsketch, simple8b, suffixes, tokencount, toxicity, urls
+from ratemill.llm import contamination, filteraudit, lexicon, packing, pii, prefixtrie, rules, setsketch, simple8b, sql, suffixes, tokencount, toxicity, urls
 from ratemill.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,29 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), scratch_path(spark, "token-counts"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query
+def op11_lexicon_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path, file = table(spark, sf_dir, "documents"), scratch_path(spark, "lexicon"), tokenizer("word_bpe_49k.json")
+    name = lexicon.send_lexicon(spark, lexicon.frequent_words(docs, path), file, f"{path}.bin")
+    decoded = lexicon.decode_ids(lexicon.encode_texts(docs, name, file), file)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "trie")
+    prefixtrie.paths(table(spark, sf_dir, "conversations")).write.parquet(f"{path}/own")
+    nodes = prefixtrie.prefix_trie(prefixtrie.rebuilt(spark.read.parquet(f"{path}/own")), path)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.col("ends").alias("ends_sha256"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch_path(spark, "audit"))
+
+
+ORACLES["op12_prefix_trie"] = sql.PREFIX_TRIE
+ORACLES["op13_filter_audit"] = sql.FILTER_AUDIT
