@@ -16,10 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratemill.functions.values import l2_normalize, uniform
+from ratemill.operators.cells import BLOCK_ROWS, CELL_ROWS, topk_cells
 from ratemill.operators.relational import first_rows, topk
-from ratemill.session import cut_lineage
 
-BLOCK_ROWS = 20000
 MIN_CELLS = 8
 
 
@@ -110,46 +109,14 @@ def similarity_join(targets: DataFrame, pool: DataFrame, k: int, **options) -> D
     return topk_similar(targets, pool, k, **options)
 
 
-def topk_similar_approx(targets: DataFrame, pool: DataFrame, k: int, tables: int = 8, bucket_length: float = 0.5,
-                        seed: int = 7, block_rows: int = BLOCK_ROWS, exclude_same_fold: bool = False) -> DataFrame:
-    """Neighbours among the items that share a random-projection bucket with the target.
+def topk_similar_approx(targets: DataFrame, pool: DataFrame, k: int, cell_rows: int = CELL_ROWS, spare: float = 0.0, seed: int = 7,
+                        block_rows: int = BLOCK_ROWS, exclude_same_fold: bool = False) -> DataFrame:
+    """Neighbours by an inverted file: cells are left out where their bound says they cannot help.
 
-    Only the hash functions come from the library; buckets are scored on the
-    same grid as the exact form, so a bucket holding a third of the pool is
-    still cut into cells and no pair table is built. Vectors must be unit length.
-    Targets that find fewer than ``k`` items in their buckets meet the whole pool, so
-    every target has as many rows as in the exact form. Runs jobs: the buckets are
-    checkpointed, and those targets and the pool are counted.
+    ``spare`` shortens the cells' radii by that share and makes the search approximate;
+    with 0 it finds what the exact form finds. Every target has as many rows as there.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_hashes", bucketLength=bucket_length,
-                                      numHashTables=tables, seed=seed)
-    as_vector = lambda df: df.withColumn("_v", array_to_vector(F.col("vector").cast("array<double>")))
-    model = lsh.fit(as_vector(pool))
-
-    fold = ["fold"] if exclude_same_fold else []
-
-    def hashed(df: DataFrame, ident: str) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
-        out = model.transform(as_vector(df))
-        return out.select(ident, "vector", *fold, F.posexplode("_hashes").alias("table", "_h")).select(
-            ident, "vector", *fold, "table", F.try_element_at(vector_to_array("_h"), F.lit(1)).alias("bucket"))
-
-    left, right = hashed(targets, "target_id"), hashed(pool, "item_id")
-    # Blocks per bucket, so that only a large bucket is cut and its targets copied.
-    key = ["table", "bucket"]
-    count = lambda df, name: df.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int").alias(name))
-    shape = count(left, "rows").join(count(right, "columns"), key)
-    found = grid_topk(left.join(shape, key), right.join(shape, key), k, "rows", "columns", key, exclude_same_fold)
-    once = found.groupBy("target_id", "item_id").agg(F.max("similarity").alias("similarity"))
-    near = cut_lineage(topk(once, k))
-    full = near.groupBy("target_id").count().filter(F.col("count") >= k).select("target_id")
-    short = targets.join(full, "target_id", "left_anti")
-    rest = topk_similar(short, pool, k, exclude_same_fold, block_rows)
-    return near.join(full, "target_id", "left_semi").unionByName(rest)
+    return topk_cells(targets, pool, k, exclude_same_fold, cell_rows, block_rows, seed, spare)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

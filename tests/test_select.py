@@ -198,7 +198,7 @@ def test_approximate_neighbours_are_whole(spark):
     # The last two lie opposite to all of the pool, and a bucket holds few of the others.
     targets = spark.createDataFrame(rows, "target_id long, vector array<double>, fold int")
     for excluded in (False, True):
-        near = N.topk_similar_approx(targets, pool, 5, bucket_length=0.05, exclude_same_fold=excluded).collect()
+        near = N.topk_similar_approx(targets, pool, 5, cell_rows=20, exclude_same_fold=excluded).collect()
         assert collections.Counter(r["target_id"] for r in near) == {i: 5 for i in range(122)}
         assert all(sorted(r["rank"] for r in near if r["target_id"] == i) == [1, 2, 3, 4, 5] for i in range(122))
         assert all(abs(made[r["target_id"]] @ made[r["item_id"]] - r["similarity"]) < 1e-9 for r in near)
@@ -216,3 +216,39 @@ def test_approximate_query_finds_most_of_the_exact_neighbours(spark):
     assert near.groupBy("target_id").count().filter("count <> 5").count() == 0
     assert near.select("target_id").distinct().count() == spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").count()
     assert N.recall(near, exact).first()["recall"] >= 0.9
+
+
+@pytest.mark.parametrize("cell_rows, block_rows", [(10, 7), (10, 20000), (1000, 50)])
+def test_cells_with_bounds_are_exact(spark, cell_rows, block_rows):
+    """Clusters of unequal lengths, a vector that a third of the pool has, zeros, ties and single precision."""
+    rng = np.random.default_rng(8)
+    made = np.r_[np.repeat(rng.normal(size=(6, 8)), 12, axis=0) + 0.1 * rng.normal(size=(72, 8)), np.tile(rng.normal(size=8), (40, 1)), np.zeros((3, 8))].astype(np.float32)
+    made[:20] *= 3
+    rows = [(f"i{i:03}", [float(x) for x in v], i % 4) for i, v in enumerate(made)]
+    pool = spark.createDataFrame([*rows, ("none", None, 0)], "item_id string, vector array<float>, fold int")
+    targets = pool.withColumnRenamed("item_id", "target_id")
+    for excluded in (False, True):
+        got = collections.defaultdict(list)
+        for r in sorted(N.topk_similar_approx(targets, pool, 4, cell_rows=cell_rows, block_rows=block_rows, exclude_same_fold=excluded).collect(), key=lambda r: r["rank"]):
+            got[r["target_id"]].append((r["item_id"], r["similarity"]))
+        sims = np.round(made.astype(np.float64) @ made.T.astype(np.float64), 12)
+        for t, (name, _, own) in enumerate(rows):
+            want = sorted(((-sims[t, i], item) for i, (item, _, fold) in enumerate(rows) if not excluded or fold != own))[:4]
+            assert [i for i, _ in got[name]] == [i for _, i in want], name
+            assert np.allclose([v for _, v in got[name]], [-v for v, _ in want], atol=1e-9)
+        assert len(got) == len(rows)
+    assert N.topk_similar_approx(targets, pool.limit(0), 4).count() == 0 and N.topk_similar_approx(targets.limit(0), pool, 4).count() == 0
+
+
+def test_bounds_leave_cells_out(spark):
+    """Far clusters meet the targets of no other cluster: few rows are sent to other cells."""
+    rng = np.random.default_rng(9)
+    centres = np.eye(8)[:6]
+    made = np.repeat(centres, 50, axis=0) + 0.02 * rng.normal(size=(300, 8))
+    pool = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(made)], "item_id long, vector array<double>")
+    targets = pool.withColumnRenamed("item_id", "target_id")
+    from ratemill.operators import cells
+
+    sent = cells.topk_cells(targets, pool, 5, cell_rows=50)
+    folder = sent.inputFiles()[0].rsplit("/hits/", 1)[0]
+    assert spark.read.parquet(f"{folder}/hits").count() < 300 * 5 * 2.5

@@ -177,9 +177,9 @@ def two_stage_topk(spark, sf):
     return out.select("target_id", "item_id", "rank", "first_rank")
 
 
-@query("topk_similar_approx")
+@query("topk_similar_approx", with_views("vectors", "SELECT target_id, item_id, rank, round(similarity, 6) + 0 AS similarity FROM near", f"{_SIMS},\n{_NEAR(K)}"))
 def topk_similar_approx(spark, sf):
-    """Neighbours sharing a projection bucket, and those of all the pool where these are fewer than K."""
+    """Neighbours by the inverted file; its bounds leave out only what cannot be among them."""
     near = N.topk_similar_approx(_targets(spark, sf), W.vectors(spark, sf), K, exclude_same_fold=True)
     return _r(near.select("target_id", "item_id", "rank", "similarity"))
 
