@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratemill.functions.values import metric_bin, uniform
+from ratemill.functions.values import uniform
+from ratemill.operators.coverage import DATASET_BONUS, coverage_similarity, item_bins
 from ratemill.operators.grouped import map_sorted_groups
 from ratemill.operators.relational import first_rows
 from ratemill.operators.sample import SEED, key_text
-from ratemill.operators.similar import _block, grid_shape, topk_similar
+from ratemill.operators.similar import topk_similar
 
-DATASET_BONUS = 0.25
 WARM_START = 20
 
 
@@ -111,11 +111,6 @@ def mmr(targets: DataFrame, pool: DataFrame, k: int, multiplier: int = 5, trade_
 # ---------------------------------------------------------------- label balance
 
 
-def item_bins(items: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Adds ``bins``: the bin of every metric in order. ``items`` has one column per metric."""
-    return items.withColumn("bins", F.array(*[metric_bin(F.col(f"`{m}`")) for m in metrics]))
-
-
 def class_pools(items: DataFrame, cross_fit: bool) -> DataFrame:
     """Items per (target fold, data set, bins): those outside the target's fold.
 
@@ -255,101 +250,3 @@ def agreement_score_balanced(items: DataFrame, agreeing: DataFrame, keys: Sequen
     if found < k:
         raise ValueError(f"only {found} items pass the agreement filter, {k} are needed")
     return score_balanced(pool, keys, metrics, k, **options)
-
-
-def coverage_similarity(targets: DataFrame, pool: DataFrame, metrics: Sequence[str], k: int, coverage_weight: float = 0.7,
-                        similarity_weight: float = 0.3, bonus: float = DATASET_BONUS, bootstraps: int = 1, seed: int = SEED,
-                        exclude_same_fold: bool = False, block_rows: int = 20000) -> DataFrame:
-    """Greedy per target: weighted rarity of an item's bins plus scaled similarity.
-
-    With a similarity weight of 0 or more a pick can only be among the ``k``
-    most similar items of its class (bins and data set), so one grid pass keeps
-    those and the similarity range over the whole pool, and the greedy part sees
-    the survivors of one target only.
-    """
-    if similarity_weight < 0:
-        raise ValueError("similarity_weight must not be negative")
-    items = item_bins(pool, metrics).withColumn("cls", F.concat_ws("|", F.col("dataset"), F.array_join("bins", ",")))
-    rows, columns = grid_shape(targets.count(), pool.count(), block_rows,
-                               targets.sparkSession.sparkContext.defaultParallelism)
-    fold = ["fold"] if exclude_same_fold else []
-    left = targets.select(*fold, "target_id", "vector", _block("target_id", rows).alias("_r"),
-                          F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("_c"))
-    own = [F.col(c).alias(f"item_{c}") for c in [*fold, "vector"]]
-    right = items.select(*own, F.col("item_id").alias("item_key"), "cls", _block("item_id", columns).alias("_c"),
-                         F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("_r"))
-    target_type = targets.schema["target_id"].dataType.simpleString()
-    item_type = pool.schema["item_id"].dataType.simpleString()
-
-    def cell(a, b):
-        import numpy as np
-        import pandas as pd
-
-        frames = [pd.DataFrame({"target_id": [], "item_id": [], "cls": [], "similarity": [], "low": [], "high": []})]
-        if len(a) and len(b):
-            b = b.sort_values(["cls", "item_key"], kind="stable")
-            matrix = np.stack(b["item_vector"].to_numpy()).astype(np.float64)
-            ids, classes = b["item_key"].to_numpy(), b["cls"].to_numpy()
-            starts = np.r_[0, np.flatnonzero(classes[1:] != classes[:-1]) + 1, len(b)]
-            for begin in range(0, len(a), 256):
-                part = a.iloc[begin : begin + 256]
-                scores = np.round(np.stack(part["vector"].to_numpy()).astype(np.float64) @ matrix.T, 12)
-                if exclude_same_fold:
-                    own = part["fold"].to_numpy()[:, None] == b["item_fold"].to_numpy()[None, :]
-                    low = np.where(own, np.inf, scores).min(axis=1)
-                    scores = np.where(own, -np.inf, scores)
-                else:
-                    low = scores.min(axis=1)
-                high = scores.max(axis=1)
-                names = part["target_id"].to_numpy()
-                for s, e in zip(starts[:-1], starts[1:]):
-                    order = np.argsort(-scores[:, s:e], axis=1, kind="stable")[:, :k]
-                    at = np.repeat(np.arange(len(part)), order.shape[1])
-                    which = order.ravel() + s
-                    value = scores[at, which]
-                    ok = np.isfinite(value)
-                    frames.append(pd.DataFrame({
-                        "target_id": names[at[ok]], "item_id": ids[which[ok]], "cls": classes[s],
-                        "similarity": value[ok], "low": low[at[ok]], "high": high[at[ok]],
-                    }))
-        return pd.concat([f for f in frames if len(f)] or frames[:1], ignore_index=True)
-
-    found = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInPandas(
-        cell, f"target_id {target_type}, item_id {item_type}, cls string, similarity double, low double, high double")
-    kept = first_rows(found, ["target_id", "cls"], [F.col("similarity").desc(), "item_id"], k).drop("low", "high")
-    limits = found.groupBy("target_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    details = items.select("item_id", "dataset", "bins")
-    spread = (
-        kept.join(limits, "target_id").join(details, "item_id")
-        .withColumn("bootstrap_id", F.explode(F.sequence(F.lit(0), F.lit(bootstraps - 1))))
-        .withColumn("noise", uniform(seed, F.col("target_id"), F.col("bootstrap_id"), F.col("item_id")))
-    )
-    names, share = list(metrics), float(max(len(metrics), 1))
-
-    def greedy(pdf):
-        low, high = float(pdf["low"].iloc[0]), float(pdf["high"].iloc[0])
-        width = high - low
-        target, boot = pdf["target_id"].iloc[0], pdf["bootstrap_id"].iloc[0]
-        rows = [(r.item_id, r.dataset, list(zip(names, r.bins)), r.similarity,
-                 (r.similarity - low) / width if width > 0 else 0.0, r.noise) for r in pdf.itertuples()]
-        covered, seen, out = {}, set(), []
-        while rows and len(out) < k:
-            best, best_key, parts = None, None, None
-            for row in rows:
-                rarity = sum(1.0 / (1.0 + covered.get(c, 0)) for c in row[2]) / share
-                extra = bonus if seen and row[1] not in seen else 0.0
-                hybrid = coverage_weight * rarity + similarity_weight * row[4]
-                key = (round(hybrid, 12), extra, row[5])
-                if best_key is None or key > best_key:
-                    best, best_key, parts = row, key, (rarity, hybrid, extra)
-            rows.remove(best)
-            seen.add(best[1])
-            for c in best[2]:
-                covered[c] = covered.get(c, 0) + 1
-            out.append((target, boot, best[0], len(out) + 1, best[3], best[4], *parts))
-        return out
-
-    return map_sorted_groups(
-        spread, ["target_id", "bootstrap_id"], ["item_id"], greedy,
-        f"target_id {target_type}, bootstrap_id int, item_id {item_type}, rank int, similarity double, "
-        "similarity_component double, coverage_component double, hybrid_score double, dataset_bonus double")

@@ -252,3 +252,55 @@ def test_bounds_leave_cells_out(spark):
     sent = cells.topk_cells(targets, pool, 5, cell_rows=50)
     folder = sent.inputFiles()[0].rsplit("/hits/", 1)[0]
     assert spark.read.parquet(f"{folder}/hits").count() < 300 * 5 * 2.5
+
+
+@pytest.mark.parametrize("block_rows", [9, 20000])
+@pytest.mark.parametrize("weights", [(0.7, 0.3), (0.05, 0.95), (1.0, 0.0)])
+def test_class_heads_give_the_greedy_picks(spark, block_rows, weights):
+    """Against greedy steps over the whole pool; equal vectors and a large class included."""
+    from ratemill.functions.values import uniform
+    from ratemill.operators import coverage as C
+
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(60, 5))
+    v[30:38] = v[30]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    m1, m2 = rng.choice([0.0, 0.5, 1.0], 60, p=[0.8, 0.1, 0.1]), rng.choice([0.0, 1.0], 60)
+    rows = [(i, [float(x) for x in v[i]], i % 4, "ab"[i % 2] if i % 9 else None, float(m1[i]), float(m2[i])) for i in range(60)]
+    pool = spark.createDataFrame(rows, "item_id int, vector array<double>, fold int, dataset string, m1 double, m2 double")
+    targets = pool.select(F.col("item_id").alias("target_id"), "vector", "fold")
+    pairs = targets.select("target_id").crossJoin(pool.select("item_id")).crossJoin(spark.range(2).select(F.col("id").cast("int").alias("b")))
+    noise = {(r[0], r[1], r[2]): r[3] for r in pairs.select("target_id", "b", "item_id", uniform(X.SEED, F.col("target_id"), F.col("b"), F.col("item_id"))).collect()}
+    got = collections.defaultdict(list)
+    for r in sorted(X.coverage_similarity(targets, pool, METRICS, 6, *weights, bootstraps=2, exclude_same_fold=True, block_rows=block_rows).collect(), key=lambda r: r["rank"]):
+        got[r["target_id"], r["bootstrap_id"]].append(r["item_id"])
+    bin_of = lambda x: "low" if x <= 0 else "high" if x >= 1 else "mid"
+    sims = np.round(v @ v.T, 12)
+    for t in range(60):
+        free = [i for i in range(60) if i % 4 != t % 4]
+        low, high = sims[t, free].min(), sims[t, free].max()
+        by_class = collections.defaultdict(list)
+        for i in sorted(free, key=lambda i: (-sims[t, i], i)):
+            by_class[rows[i][3], bin_of(m1[i]), bin_of(m2[i])].append(i)
+        for boot in range(2):
+            open_ = [i for members in by_class.values() for i in members[:6]]
+            covered, seen, want = collections.Counter(), set(), []
+            while len(want) < 6:
+                def key(i):
+                    cells = [("m1", bin_of(m1[i])), ("m2", bin_of(m2[i]))]
+                    rarity = sum(1.0 / (1.0 + covered[c]) for c in cells) / 2.0
+                    extra = 0.25 if seen and rows[i][3] not in seen else 0.0
+                    return round(weights[0] * rarity + weights[1] * (sims[t, i] - low) / (high - low), 12), extra, noise[t, boot, i]
+
+                best = max(open_, key=key)
+                open_.remove(best)
+                want.append(best)
+                seen.add(rows[best][3])
+                covered.update([("m1", bin_of(m1[best])), ("m2", bin_of(m2[best]))])
+            assert got[t, boot] == want, (t, boot)
+    items = C.item_bins(pool, METRICS).withColumn("cls", F.to_json(F.concat(F.array("dataset"), "bins")))
+    heads = C.class_heads(targets, items, 6, (*weights, 0.25), 2, 1 if block_rows > 60 else 7, 1, True)
+    classes = items.select("cls").distinct().count()
+    # The eight equal vectors of a class stay together, so they may add to the bound.
+    assert heads.filter(F.size("items") > 6 + classes + 7).count() == 0
+    assert heads.groupBy("target_id").agg(F.count("*").alias("n")).filter(f"n > {1 if block_rows > 60 else 7}").count() == 0
