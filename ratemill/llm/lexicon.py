@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from ratemill.llm.tokens import WORD_SPLIT, slices
 
 #: Words of a lexicon, at most.
-MOST_WORDS = 100_000
-#: Words counted by one task before it hands them on.
+MOST_WORDS = 200_000
+#: Different parts of texts counted by one task before it hands them on.
 COUNTED = 200_000
+#: Characters of texts encoded at once; a longer text is on its own.
+SLICE = 4_000_000
 #: Steps of a doubling in which frequencies are told apart.
 STEPS = 8
 #: Bytes of a word up to which words are merged together; longer ones are merged by the library.
@@ -259,44 +261,52 @@ class Lexicon:
         self.library = _library(tokenizer)
         self.special = [t["content"] for t in _spec(tokenizer).get("added_tokens") or []]
 
-    def units(self, text: str) -> list[str]:
-        """Words of a text, and with a zero before it what is left to the library."""
+    def parts(self, text: str) -> list[str]:
+        """What stands between white space, in lower case; with a zero before it what is left to the library."""
         if not _OTHER.search(text) and not any(s in text for s in self.special):
-            return _WORD.findall(text.lower())
+            return text.lower().split()
         out = []
         for part in text.split(" "):
             if _OTHER.search(part) or any(s in part for s in self.special):
                 out.append("\0" + part)
             else:
-                out += _WORD.findall(part.lower())
+                out += part.lower().split()
         return out
 
-    def ids(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of distinct units, as little-endian unsigned 32-bit integers."""
-        out: dict[str, bytes] = {}
-        words = [u for u in units if u[0] != "\0"]
+    def word_ids(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words, as little-endian unsigned 32-bit integers."""
         raw = [w.encode() for w in words]
         numbers = word_numbers(self.arrays, raw)
-        starts, all_ids = self.arrays["starts"], self.arrays["ids"]
         seen = np.flatnonzero(numbers >= 0)
-        if len(seen):
-            lows, highs = starts[numbers[seen]], starts[numbers[seen] + 1]
-            sizes = highs - lows
-            ends = np.cumsum(sizes)
-            gathered = all_ids[np.arange(ends[-1]) + np.repeat(lows - (ends - sizes), sizes)].tobytes()
-            for k, (a, b) in zip(seen.tolist(), zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist())):
-                out[words[k]] = gathered[a:b]
+        starts = self.arrays["starts"]
+        lows = starts[numbers[seen]]
+        sizes = starts[numbers[seen] + 1] - lows
+        ends = np.cumsum(sizes)
+        gathered = self.arrays["ids"][np.arange(ends[-1] if len(ends) else 0) + np.repeat(lows - (ends - sizes), sizes)].tobytes()
+        out = {words[k]: gathered[a:b] for k, a, b in zip(seen.tolist(), (4 * (ends - sizes)).tolist(), (4 * ends).tolist())}
         new = [k for k in np.flatnonzero(numbers < 0).tolist() if len(raw[k]) <= LONG]
         out.update(zip([words[k] for k in new], merge_words(self.arrays, [raw[k] for k in new])))
-        left = [u for u in units if u not in out]
-        encoded = self.library.encode_batch_fast([u[1:] if u[0] == "\0" else u for u in left], add_special_tokens=False)
-        out.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(left, encoded))
+        left = [w for w in words if w not in out]
+        out.update(zip(left, self.whole(left)))
+        return out
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of distinct parts."""
+        single = [p for p in parts if p.isalpha()]
+        mixed = {p: _WORD.findall(p) for p in parts if not p.isalpha() and p[0] != "\0"}
+        out = self.word_ids(list({*single}.union(*mixed.values())))
+        out.update([(p, b"".join(map(out.__getitem__, words))) for p, words in mixed.items()])
+        left = [p for p in parts if p[0] == "\0"]
+        out.update(zip(left, self.whole([p[1:] for p in left])))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.units(t) for t in texts]
+        split = [self.parts(t) for t in texts]
         known = self.ids(list(set().union(*split)))
-        return [b"".join(map(known.__getitem__, units)) for units in split]
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
 
 def opened(name: str, tokenizer: str) -> Lexicon:
@@ -324,15 +334,20 @@ def frequent_words(docs: DataFrame, scratch: str, most: int = MOST_WORDS) -> lis
         found: Counter[str] = Counter()
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+            # What the library has to split is not counted; here other characters only end a word.
+            words: Counter[str] = Counter()
+            for part, n in found.items():
+                for word in (part,) if part.isalpha() else _WORD.findall(part):
+                    words[word] += n
+            kept = [w for w in words if len(w) <= LONG]
+            return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([words[w] for w in kept], pa.int64())], names=["word", "n"])
 
         for _, texts in slices(batches, []):
             for text in texts:
-                # What the library has to split is not counted; here other characters only end a word.
-                found.update(w for w in _WORD.findall(text.lower()) if len(w) <= LONG)
-            if len(found) >= COUNTED:
-                yield batch()
-                found.clear()
+                found.update(text.lower().split())
+                if len(found) >= COUNTED:
+                    yield batch()
+                    found.clear()
         yield batch()
 
     counted = docs.select("text").mapInArrow(counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -375,7 +390,7 @@ def encode_texts(docs: DataFrame, lexicon: str, tokenizer: str, key: str = "doc_
     kind, wanted = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType)
 
     def rows(batches: Iterator):
-        for (keys,), texts in slices(batches, [key]):
+        for (keys,), texts in slices(batches, [key], most=SLICE):
             own = opened(lexicon, tokenizer).encode(texts)
             ends = np.cumsum([0, *(len(i) // 4 for i in own)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(own), "<i4")))

@@ -133,7 +133,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(batches: Iterator, columns: list[str], text: str = "text") -> Iterator[tuple[list[list], list[str]]]:
+def slices(batches: Iterator, columns: list[str], text: str = "text", most: int = SLICE) -> Iterator[tuple[list[list], list[str]]]:
     """Small groups of rows of Arrow batches: the values of ``columns`` and the texts, null ones empty."""
     for batch in batches:
         column, at = batch.column(text), 0
@@ -143,7 +143,7 @@ def slices(batches: Iterator, columns: list[str], text: str = "text") -> Iterato
             for i in range(at, batch.num_rows):
                 texts.append(column[i].as_py() or "")
                 size += len(texts[-1])
-                if size >= SLICE:
+                if size >= most:
                     break
             part = batch.slice(at, len(texts))
             at += len(texts)
