@@ -1,9 +1,12 @@
 """Seeded sampling and fold assignment.
 
-Draws come from ``uniform``, a pure function of ids and seed, so no operator
-depends on row order, partitioning or retries. Nothing is numbered by a window
-over the whole table: positions are (prefix of a digest, key), counted per
-prefix and then inside a prefix.
+Draws are digests of ids and seed, so no operator depends on row order,
+partitioning or retries. Nothing is numbered or sorted over a whole table. Samples
+without replacement are cut off: counts by the leading digits of the digests give
+the digit at which the sample is full, that digit is counted once more by its
+next digits, and only what shares those is ordered. Draws with replacement go
+down the same digits: a draw falls into a digit by the counts, then into one of
+its next digits, and only there do items have places.
 """
 
 from __future__ import annotations
@@ -13,11 +16,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratemill.functions.values import uniform
-from ratemill.operators.relational import first_rows
+from ratemill.session import cut_lineage
 
 SEED = 114514
 DIGEST_PREFIX = 3
+#: Strata whose cuts are broadcast; beyond, they are joined.
+BROADCAST_STRATA = 100_000
+#: Draws made from one row.
+CHUNK = 4096
 
 
 def key_text(keys: Sequence[str]):
@@ -25,16 +31,16 @@ def key_text(keys: Sequence[str]):
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], by: Sequence[str] = (), name: str = "idx",
-                prefix: int = DIGEST_PREFIX) -> DataFrame:
-    """Number the rows 0..N-1 within ``by`` in the order (digest prefix, key).
+                prefix: int = DIGEST_PREFIX, text=None) -> DataFrame:
+    """Number the rows 0..N-1 within ``by`` in the order (digest prefix, key), or of ``text``, a column of digests.
 
     ``keys`` identify a row within ``by``. A task orders one prefix of one
     group, 1/4096 of the group by default; only the counts per prefix are summed
     up in a row.
     """
     by = list(by)
-    text = key_text(keys)
-    cut = df.withColumn("_text", text).withColumn("_prefix", F.substring(F.md5("_text"), 1, prefix))
+    cut = df.withColumn("_text", key_text(keys) if text is None else text)
+    cut = cut.withColumn("_prefix", F.substring(F.md5("_text") if text is None else F.col("_text"), 1, prefix))
     counts = cut.groupBy(*by, "_prefix").agg(F.count("*").alias("_n"))
     # Without ``by`` the window orders one small table of at most 16 ** prefix rows.
     before = Window.partitionBy(*by).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
@@ -49,44 +55,117 @@ def dense_index(df: DataFrame, keys: Sequence[str], by: Sequence[str] = (), name
         "_text", "_prefix", "_p", "_start", "_in", *[f"_{c}" for c in by])
 
 
+def digest(*parts):
+    """Hexadecimal digest of the parts: the order of draws."""
+    columns = [part if isinstance(part, F.Column) else F.lit(part) for part in parts]
+    return F.md5(F.concat_ws("|", *[c.cast("string") for c in columns]))
+
+
+def by_columns(by: Sequence[str]):
+    return [F.col(c) for c in by]
+
+
+def _cuts(rows: DataFrame, by: Sequence[str], digits: int, need) -> DataFrame:
+    """``by, _cut, _need``: the leading digits at which the smallest ``need`` rows are full, and how many of them are in."""
+    counts = rows.groupBy(*by, F.substring("_digest", 1, digits).alias("_cut")).agg(F.count("*").alias("_n"), need.alias("_all"))
+    up_to = F.sum("_n").over(Window.partitionBy(*by).orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("_to", up_to).filter((F.col("_to") >= F.col("_all")) & (F.col("_to") - F.col("_n") < F.col("_all"))).select(
+        *by, "_cut", (F.col("_all") - F.col("_to") + F.col("_n")).alias("_need"))
+
+
+def smallest(df: DataFrame, n: int, draw, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` rows of each ``by`` with the smallest (draw, keys); all rows of a smaller one.
+
+    A table is read three times: for counts by three digits of ``draw``, for the rows at the
+    cut, which are checkpointed and counted by three more digits, and for the rows below
+    the last one. Only rows that share six digits with that one are ordered. Rows that share the
+    keys are told apart by nothing; as many of them are taken as fit.
+    """
+    if n <= 0:
+        return df.limit(0)
+    strata, names = list(by) or ["_whole"], df.columns
+    marked = df.withColumn("_digest", draw)
+    if not by:
+        marked = marked.withColumn("_whole", F.lit(0))
+    first = _cuts(marked, strata, 3, F.lit(n))
+    few = not by or first.count() <= BROADCAST_STRATA
+
+    def matched(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        return _null_safe(rows, F.broadcast(table) if few else table, strata, how)
+
+    near = matched(marked.select(*dict.fromkeys([*strata, *keys, "_digest"])), first, "inner")
+    near = cut_lineage(near.filter(F.substring("_digest", 1, 3) == F.col("_cut")).drop("_cut"))
+    second = _cuts(near, strata, 6, F.first("_need"))
+    edge = matched(near.drop("_need"), second, "inner").filter(F.substring("_digest", 1, 6) == F.col("_cut"))
+    order = Window.partitionBy(*strata).orderBy("_digest", *keys)
+    placed = edge.withColumn("_place", F.row_number().over(order)).withColumn("_rank", F.rank().over(order))
+    last = placed.filter(F.col("_place") == F.col("_need")).select(
+        *strata, F.struct("_digest", *keys).alias("_last"), (F.col("_place") - F.col("_rank") + 1).alias("_equal"))
+    own = F.struct("_digest", *keys)
+    limited = matched(marked, last, "left")
+    below = limited.filter(F.col("_last").isNull() | (own < F.col("_last")))
+    at = limited.filter(own == F.col("_last")).withColumn("_place", F.row_number().over(Window.partitionBy(*strata).orderBy("_digest")))
+    return below.select(*names).unionByName(at.filter(F.col("_place") <= F.col("_equal")).select(*names))
+
+
+def _descend(draws: DataFrame, counts: DataFrame, node: Sequence[str], child: str) -> DataFrame:
+    """Draws at place ``_at`` of ``_size`` rows of a node, moved to the child that holds the place.
+
+    Children begin where those before end. A node's places are dealt into 4096 cells, so that a draw
+    only meets the children that reach into its own.
+    """
+    inside = Window.partitionBy(*node)
+    spans = counts.withColumn("_total", F.sum("_n").over(inside)).withColumn(
+        "_begin", F.sum("_n").over(inside.orderBy(child).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+
+    def cell(place, size):
+        return F.floor(place * 4096 / size).cast("int")
+
+    reach = F.sequence(cell(F.col("_begin"), F.col("_total")), cell(F.col("_begin") + F.col("_n") - 1, F.col("_total")))
+    dealt = spans.select(*node, child, "_begin", "_n", F.explode(reach).alias("_cell"))
+    met = _null_safe(draws.withColumn("_cell", cell(F.col("_at"), F.col("_size"))), dealt, [*node, "_cell"], "inner")
+    inside_child = (F.col("_at") >= F.col("_begin")) & (F.col("_at") < F.col("_begin") + F.col("_n"))
+    return met.filter(inside_child).withColumn("_at", F.col("_at") - F.col("_begin")).withColumn("_size", F.col("_n")).drop("_cell", "_begin", "_n")
+
+
 def bootstrap_groups(pool: DataFrame, keys: Sequence[str], n: int, bootstraps: int, replace: bool = True,
                      seed: int = SEED, by: Sequence[str] = ()) -> DataFrame:
     """``n`` drawn items per bootstrap (and per ``by``, e.g. fold): one row per
     draw with ``bootstrap_id`` and ``copy_id``.
 
-    The pool holds one row per item. ``n <= 0`` gives no rows.
+    The pool holds one row per item. ``n <= 0`` gives no rows; a null ``by`` is a group.
+    The distinct items are checkpointed. Draws with replacement are 60 bits of a digest.
     """
     by = list(by)
     items = pool.select(*by, *keys).distinct()
     if not replace:
         spread = items.withColumn("bootstrap_id", F.explode(F.sequence(F.lit(0), F.lit(bootstraps - 1))))
-        order = [uniform(seed, F.col("bootstrap_id"), *by_columns(by), key_text(keys)), *keys]
-        drawn = first_rows(spread, [*by, "bootstrap_id"], order, max(n, 0), rank="copy_id")
-        return drawn.withColumn("copy_id", F.col("copy_id") - 1)
-    indexed = dense_index(items, keys, by)
-    sizes = items.groupBy(*by).agg(F.count("*").alias("_size"))
-    # One row per draw: n * bootstraps for each row of the sizes (one per fold).
+        order = digest(seed, F.col("bootstrap_id"), *by_columns(by), key_text(keys))
+        drawn = smallest(spread, n, order, keys, [*by, "bootstrap_id"])
+        return dense_index(drawn, keys, [*by, "bootstrap_id"], "copy_id", text=order).withColumn("copy_id", F.col("copy_id").cast("int"))
+    named = items.withColumn("_digest", digest(key_text(keys)))
+    named = cut_lineage(named.withColumn("_six", F.substring("_digest", 1, 6)))
+    sixes = named.groupBy(*by, "_six").agg(F.count("*").alias("_n")).withColumn("_three", F.substring("_six", 1, 3))
+    threes = sixes.groupBy(*by, "_three").agg(F.sum("_n").alias("_n"))
+    sizes = threes.groupBy(*by).agg(F.sum("_n").alias("_size"))
     total = bootstraps * max(n, 0)
-    numbers = F.sequence(F.lit(0), F.lit(total - 1)) if total else F.array().cast("array<int>")
-    draws = sizes.select(*by, "_size", F.explode(numbers).alias("_i")).select(
-        *by, "_size", F.floor(F.col("_i") / max(n, 1)).cast("int").alias("bootstrap_id"),
-        (F.col("_i") % max(n, 1)).cast("int").alias("copy_id"))
-    draws = draws.withColumn("idx", F.floor(
-        uniform(seed, F.col("bootstrap_id"), *by_columns(by), F.col("copy_id")) * F.col("_size")).cast("long"))
-    return draws.filter(F.col("_size") > 0).join(indexed, [*by, "idx"]).drop("_size", "idx")
-
-
-def by_columns(by: Sequence[str]):
-    return [F.col(c) for c in by]
+    chunks = F.sequence(F.lit(0), F.lit((total - 1) // CHUNK)) if total else F.array().cast("array<int>")
+    begun = sizes.withColumn("_chunk", F.explode(chunks)).repartition(*by, "_chunk") if total else sizes.withColumn("_chunk", F.explode(chunks))
+    draws = begun.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(CHUNK - 1)))).withColumn("_i", F.col("_chunk").cast("long") * CHUNK + F.col("_i")).filter(F.col("_i") < total)
+    draws = draws.select(*by, "_size", F.floor(F.col("_i") / max(n, 1)).cast("int").alias("bootstrap_id"), (F.col("_i") % max(n, 1)).cast("int").alias("copy_id"))
+    number = F.conv(F.substring(digest(seed, F.col("bootstrap_id"), *by_columns(by), F.col("copy_id")), 1, 15), 16, 10).cast("long")
+    fallen = _descend(draws.withColumn("_at", number % F.col("_size")), threes, by, "_three")
+    fallen = _descend(fallen, sixes, [*by, "_three"], "_six")
+    hit = fallen.select(*by, "_six").distinct()
+    inside = Window.partitionBy(*by, "_six").orderBy("_digest", *keys)
+    placed = _null_safe(named, hit, [*by, "_six"], "inner").withColumn("_at", (F.row_number().over(inside) - 1).cast("long"))
+    return _null_safe(fallen, placed, [*by, "_six", "_at"], "inner").select(*by, "bootstrap_id", "copy_id", *keys)
 
 
 def sample_groups(pool: DataFrame, keys: Sequence[str], n: int, seed: int = SEED, by: Sequence[str] = ()) -> DataFrame:
-    """``n`` items without replacement (per ``by``): the smallest draws win."""
-    items = pool.select(*by, *keys).distinct()
-    draw = uniform(seed, *by_columns(by), key_text(keys))
-    if by:
-        return first_rows(items, list(by), [draw, *keys], n)
-    return items.orderBy(draw, *keys).limit(n)
+    """``n`` items without replacement (per ``by``): the smallest draws win. The distinct items are checkpointed."""
+    items = cut_lineage(pool.select(*by, *keys).distinct())
+    return smallest(items, n, digest(seed, *by_columns(by), key_text(keys)), keys, by)
 
 
 def sample_ids_split(df: DataFrame, n: int | None, id_column: str = "encounter_id", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +181,7 @@ def sample_ids_split(df: DataFrame, n: int | None, id_column: str = "encounter_i
 def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, keys: Sequence[str], seed: int = SEED,
                       check: bool = True) -> DataFrame:
     """``n`` rows per stratum. A stratum with fewer is an error (``check`` runs a job)."""
-    picked = first_rows(df, strata, [uniform(seed, key_text(keys)), *keys], n)
+    picked = smallest(df, n, digest(seed, key_text(keys)), keys, strata)
     if check:
         short = picked.groupBy(*strata).agg(F.count("*").alias("n")).filter(F.col("n") < n).limit(5).collect()
         if short:
@@ -111,7 +190,8 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, keys: Sequen
 
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = SEED) -> DataFrame:
-    return df.orderBy(uniform(seed, key_text(keys)), *keys).limit(n)
+    """``n`` rows: those with the smallest draws of their keys."""
+    return smallest(df, n, digest(seed, key_text(keys)), keys)
 
 
 # ---------------------------------------------------------------- folds
@@ -194,11 +274,11 @@ ADAPTIVE_RATIO = 3
 ADAPTIVE_LIMIT = 10
 
 
-def _null_safe(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _null_safe(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """``df`` with the other columns of ``table``; null keys match each other."""
     named = table.withColumnsRenamed({k: f"_key_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    return df.join(named, same, "left").drop(*(f"_key_{k}" for k in keys))
+    return df.join(named, same, how).drop(*(f"_key_{k}" for k in keys))
 
 
 def oversample(df: DataFrame, scheme: str = "adaptive", label: str = "label", by: Sequence[str] = ("metric",),

@@ -304,3 +304,35 @@ def test_class_heads_give_the_greedy_picks(spark, block_rows, weights):
     # The eight equal vectors of a class stay together, so they may add to the bound.
     assert heads.filter(F.size("items") > 6 + classes + 7).count() == 0
     assert heads.groupBy("target_id").agg(F.count("*").alias("n")).filter(f"n > {1 if block_rows > 60 else 7}").count() == 0
+
+
+def test_cut_off_selection_is_exact(spark):
+    """Any n, strata with null and few rows, repeated rows, and no sort or limit over the table."""
+    rows = [(["a", "b", None][i % 3] if i < 590 else "c", i % 200 if i < 560 else i) for i in range(600)]
+    df = spark.createDataFrame(rows, "s string, k int").repartition(5)
+    text = {k: r for k, r in ((r["k"], r["d"]) for r in df.select("k", S.digest(S.SEED, S.key_text(["k"])).alias("d")).distinct().collect())}
+    for n in (1, 37, 180, 199, 599, 600, 900):
+        got = sorted((text[r["k"]], r["k"]) for r in S.sample_rows(df, n, ["k"]).collect())
+        assert got == sorted((text[k], k) for _, k in rows)[:n]
+        per = collections.defaultdict(list)
+        for r in S.stratified_sample(df, ["s"], n, ["k"], check=False).collect():
+            per[r["s"]].append((text[r["k"]], r["k"]))
+        for s in ("a", "b", None, "c"):
+            assert sorted(per[s]) == sorted((text[k], k) for x, k in rows if x == s)[:n]
+    plan = S.sample_rows(df, 180, ["k"])._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan and "Sort [_digest" not in plan.split("== Physical Plan ==")[0]
+    assert S.sample_rows(df.limit(0), 5, ["k"]).count() == 0 and S.sample_rows(df, 0, ["k"]).count() == 0
+
+
+def test_draws_with_replacement_are_even_and_null_safe(spark):
+    pool = spark.createDataFrame([(i, None if i % 2 else "f") for i in range(60)] + [(100, "one")], "k int, fold string")
+    drawn = S.bootstrap_groups(pool, ["k"], 3000, 3, by=["fold"])
+    per = collections.Counter((r["fold"], r["bootstrap_id"], r["k"]) for r in drawn.collect())
+    for fold, size in ((None, 30), ("f", 30), ("one", 1)):
+        for boot in range(3):
+            counts = [c for (f, b, _), c in per.items() if (f, b) == (fold, boot)]
+            assert sum(counts) == 3000 and len(counts) == size
+            chance = 3000 / size
+            # Chi square with 29 degrees of freedom: 60 is beyond the 0.999 quantile.
+            assert size == 1 or sum((c - chance) ** 2 / chance for c in counts) < 60
+    assert all(k % 2 if f is None else k % 2 == 0 for f, _, k in per)

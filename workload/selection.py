@@ -29,53 +29,89 @@ def dense_index(spark, sf):
     return S.dense_index(W.ratings(spark, sf).select("dataset", "encounter_id").distinct(), ["encounter_id"], ["dataset"])
 
 
-@query("bootstrap_groups", with_views("items", f"""SELECT b AS bootstrap_id, c AS copy_id, {ITEM_SQL} FROM (SELECT CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, CAST(floor({u_sql(SEED, 'CAST(b AS VARCHAR)', 'CAST(c AS VARCHAR)')} * (SELECT count(*) FROM items)) AS BIGINT) AS idx
- FROM (SELECT unnest(range(7)) AS b), (SELECT unnest(range(20)) AS c)) d JOIN (SELECT {ITEM_SQL}, row_number() OVER (ORDER BY substr(md5({ITEM_TEXT}), 1, 3), {ITEM_TEXT}) - 1 AS idx FROM items) i ON d.idx = i.idx"""))
+def digest_sql(*parts: str) -> str:
+    """SQL text of ratemill.operators.sample.digest."""
+    return f"md5(concat_ws('|', {', '.join(parts)}))"
+
+
+def number_sql(*parts: str) -> str:
+    """SQL text of the 60 bits of a draw."""
+    return f"CAST('0x' || substr({digest_sql(*parts)}, 1, 15) AS BIGINT)"
+
+
+@query("bootstrap_groups", with_views("items", f"""SELECT b AS bootstrap_id, c AS copy_id, {ITEM_SQL} FROM (SELECT CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, {number_sql(SEED, 'CAST(b AS VARCHAR)', 'CAST(c AS VARCHAR)')} % (SELECT count(*) FROM items) AS idx
+ FROM (SELECT unnest(range(7)) AS b), (SELECT unnest(range(20)) AS c)) d JOIN (SELECT {ITEM_SQL}, row_number() OVER (ORDER BY md5({ITEM_TEXT}), {ITEM_SQL}) - 1 AS idx FROM items) i ON d.idx = i.idx"""))
 def bootstrap_groups(spark, sf):
     """Seven bootstraps of twenty items, with replacement, copies numbered."""
     return S.bootstrap_groups(W.items(spark, sf), ITEM_KEY, 20, 7).select("bootstrap_id", "copy_id", *ITEM_KEY)
 
 
-@query("bootstrap_groups_per_fold", with_views("items", f"""SELECT fold, b AS bootstrap_id, c AS copy_id, {ITEM_SQL} FROM (SELECT n.fold, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, CAST(floor({u_sql(SEED, 'CAST(b AS VARCHAR)', 'CAST(n.fold AS VARCHAR)', 'CAST(c AS VARCHAR)')} * n.n) AS BIGINT) AS idx
+@query("bootstrap_groups_per_fold", with_views("items", f"""SELECT fold, b AS bootstrap_id, c AS copy_id, {ITEM_SQL} FROM (SELECT n.fold, CAST(b AS INTEGER) AS b, CAST(c AS INTEGER) AS c, {number_sql(SEED, 'CAST(b AS VARCHAR)', 'CAST(n.fold AS VARCHAR)', 'CAST(c AS VARCHAR)')} % n.n AS idx
  FROM (SELECT fold, count(*) AS n FROM items GROUP BY fold) n, (SELECT unnest(range(3)) AS b), (SELECT unnest(range(20)) AS c)) d
- JOIN (SELECT {ITEM_SQL}, fold, row_number() OVER (PARTITION BY fold ORDER BY substr(md5({ITEM_TEXT}), 1, 3), {ITEM_TEXT}) - 1 AS idx FROM items) i USING (fold, idx)"""))
+ JOIN (SELECT {ITEM_SQL}, fold, row_number() OVER (PARTITION BY fold ORDER BY md5({ITEM_TEXT}), {ITEM_SQL}) - 1 AS idx FROM items) i USING (fold, idx)"""))
 def bootstrap_groups_per_fold(spark, sf):
     return S.bootstrap_groups(W.items(spark, sf), ITEM_KEY, 20, 3, by=["fold"]).select("fold", "bootstrap_id", "copy_id", *ITEM_KEY)
 
 
-@query("bootstrap_groups_distinct", with_views("items", f"""SELECT b AS bootstrap_id, CAST(r - 1 AS INTEGER) AS copy_id, {ITEM_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY {u_sql(SEED, 'CAST(b AS VARCHAR)', ITEM_TEXT)}, {ITEM_SQL}) AS r
+@query("bootstrap_groups_distinct", with_views("items", f"""SELECT b AS bootstrap_id, CAST(r - 1 AS INTEGER) AS copy_id, {ITEM_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY {digest_sql(SEED, 'CAST(b AS VARCHAR)', ITEM_TEXT)}, {ITEM_SQL}) AS r
  FROM items, (SELECT CAST(unnest(range(3)) AS INTEGER) AS b)) WHERE r <= 20"""))
 def bootstrap_groups_distinct(spark, sf):
     return S.bootstrap_groups(W.items(spark, sf), ITEM_KEY, 20, 3, replace=False).select("bootstrap_id", "copy_id", *ITEM_KEY)
 
 
-@query("sample_groups", with_views("items", f"SELECT {ITEM_SQL} FROM items ORDER BY {u_sql(SEED, ITEM_TEXT)}, {ITEM_SQL} LIMIT 20"))
+@query("sample_groups", with_views("items", f"SELECT {ITEM_SQL} FROM items ORDER BY {digest_sql(SEED, ITEM_TEXT)}, {ITEM_SQL} LIMIT 20"))
 def sample_groups(spark, sf):
     return S.sample_groups(W.items(spark, sf), ITEM_KEY, 20)
 
 
-@query("sample_groups_per_fold", with_views("items", f"SELECT fold, {ITEM_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {u_sql(SEED, 'CAST(fold AS VARCHAR)', ITEM_TEXT)}, {ITEM_SQL}) AS r FROM items) WHERE r <= 20"))
+@query("sample_groups_per_fold", with_views("items", f"SELECT fold, {ITEM_SQL} FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {digest_sql(SEED, 'CAST(fold AS VARCHAR)', ITEM_TEXT)}, {ITEM_SQL}) AS r FROM items) WHERE r <= 20"))
 def sample_groups_per_fold(spark, sf):
     return S.sample_groups(W.items(spark, sf), ITEM_KEY, 20, by=["fold"])
 
 
-@query("sample_ids_split", with_views("ratings", f"""SELECT part, metric, count(*) AS n FROM (SELECT metric, CASE WHEN encounter_id IN (SELECT encounter_id FROM (SELECT DISTINCT encounter_id FROM ratings) ORDER BY {u_sql(SEED, 'encounter_id')}, encounter_id LIMIT 100) THEN 'train' ELSE 'val' END AS part FROM ratings) GROUP BY ALL"""))
+@query("sample_ids_split", with_views("ratings", f"""SELECT part, metric, count(*) AS n FROM (SELECT metric, CASE WHEN encounter_id IN (SELECT encounter_id FROM (SELECT DISTINCT encounter_id FROM ratings) ORDER BY {digest_sql(SEED, 'encounter_id')}, encounter_id LIMIT 100) THEN 'train' ELSE 'val' END AS part FROM ratings) GROUP BY ALL"""))
 def sample_ids_split(spark, sf):
     train, val = S.sample_ids_split(W.ratings(spark, sf), 100)
     both = train.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("val")))
     return A.value_counts(both, "metric", ["part"])
 
 
-@query("stratified_sample", with_views("items", f"SELECT {ITEM_SQL}, completeness FROM (SELECT *, row_number() OVER (PARTITION BY completeness ORDER BY {u_sql(SEED, ITEM_TEXT)}, {ITEM_SQL}) AS r FROM items) WHERE r <= 10"))
+@query("stratified_sample", with_views("items", f"SELECT {ITEM_SQL}, completeness FROM (SELECT *, row_number() OVER (PARTITION BY completeness ORDER BY {digest_sql(SEED, ITEM_TEXT)}, {ITEM_SQL}) AS r FROM items) WHERE r <= 10"))
 def stratified_sample(spark, sf):
     return S.stratified_sample(W.items(spark, sf), ["completeness"], 10, ITEM_KEY).select(*ITEM_KEY, "completeness")
 
 
-@query("sample_rows", f"SELECT doc_id, lang FROM documents ORDER BY {u_sql(SEED, 'CAST(doc_id AS VARCHAR)')}, doc_id LIMIT 50")
+@query("sample_rows", f"SELECT doc_id, lang FROM documents ORDER BY {digest_sql(SEED, 'CAST(doc_id AS VARCHAR)')}, doc_id LIMIT 50")
 def sample_rows(spark, sf):
     return S.sample_rows(W.table(spark, sf, "documents").select("doc_id", "lang"), 50, ["doc_id"])
 
 
+@query("bootstrap_groups_null_fold", with_views("items", f"""SELECT CAST(nullif(fold, 0) AS INTEGER) AS fold, b AS bootstrap_id, count(*) AS draws, count(DISTINCT ({ITEM_SQL})) AS items FROM (SELECT n.fold, CAST(b AS INTEGER) AS b, {number_sql(SEED, 'CAST(b AS VARCHAR)', 'CAST(nullif(n.fold, 0) AS VARCHAR)', 'CAST(c AS VARCHAR)')} % n.n AS idx
+ FROM (SELECT fold, count(*) AS n FROM items GROUP BY fold) n, (SELECT unnest(range(2)) AS b), (SELECT unnest(range(3000)) AS c)) d
+ JOIN (SELECT {ITEM_SQL}, fold, row_number() OVER (PARTITION BY fold ORDER BY md5({ITEM_TEXT}), {ITEM_SQL}) - 1 AS idx FROM items) i USING (fold, idx) GROUP BY ALL"""))
+def bootstrap_groups_null_fold(spark, sf):
+    """Items without a fold are a group too; more draws than one task makes."""
+    pool = W.items(spark, sf).withColumn("fold", F.when(F.col("fold") != 0, F.col("fold")))
+    drawn = S.bootstrap_groups(pool, ITEM_KEY, 3000, 2, by=["fold"])
+    return drawn.groupBy("fold", "bootstrap_id").agg(F.count("*").alias("draws"), F.countDistinct(*ITEM_KEY).alias("items"))
+
+
+@query("sample_rows_many", f"SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY {digest_sql(SEED, 'concat_ws($$|$$, CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))')}, l_orderkey, l_linenumber LIMIT 5000")
+def sample_rows_many(spark, sf):
+    return S.sample_rows(W.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), 5000, ["l_orderkey", "l_linenumber"])
+
+
+@query("sample_groups_many", f"SELECT * FROM (SELECT DISTINCT l_partkey FROM lineitem) ORDER BY {digest_sql(SEED, 'CAST(l_partkey AS VARCHAR)')}, l_partkey LIMIT 1500")
+def sample_groups_many(spark, sf):
+    return S.sample_groups(W.table(spark, sf, "lineitem"), ["l_partkey"], 1500)
+
+
+@query("stratified_sample_many", f"SELECT l_returnflag, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {digest_sql(SEED, 'concat_ws($$|$$, CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))')}, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r <= 2000")
+def stratified_sample_many(spark, sf):
+    rows = W.table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    return S.stratified_sample(rows, ["l_returnflag"], 2000, ["l_orderkey", "l_linenumber"])
+
+
 _LIST5 = "[1, 2, 3, 4, 5]"
 
 
