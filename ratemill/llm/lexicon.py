@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import math
 import os
-import re
 import struct
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -27,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratemill.llm.tokens import WORD_SPLIT, slices
+from ratemill.llm.tokens import OTHER, WORD_SPLIT, slices
 
 #: Words of a lexicon, at most.
 MOST_WORDS = 200_000
@@ -41,8 +40,6 @@ STEPS = 8
 LONG = 96
 
 _WORD = regex.compile(WORD_SPLIT)
-#: Any character whose class, lower case or composition is left to the library.
-_OTHER = re.compile("[^\\t-\\r -~\xa1-įı-ɏ]")
 _opened: dict[str, "Lexicon"] = {}
 _NEVER = np.iinfo(np.int32).max
 
@@ -263,11 +260,11 @@ class Lexicon:
 
     def parts(self, text: str) -> list[str]:
         """What stands between white space, in lower case; with a zero before it what is left to the library."""
-        if not _OTHER.search(text) and not any(s in text for s in self.special):
+        if not OTHER.search(text) and not any(s in text for s in self.special):
             return text.lower().split()
         out = []
         for part in text.split(" "):
-            if _OTHER.search(part) or any(s in part for s in self.special):
+            if OTHER.search(part) or any(s in part for s in self.special):
                 out.append("\0" + part)
             else:
                 out += part.lower().split()
@@ -362,7 +359,7 @@ def frequent_words(docs: DataFrame, scratch: str, most: int = MOST_WORDS) -> lis
         least = row["step"]
     if least is None:
         return []
-    return sorted(r["word"] for r in words.filter(F.col("step") >= least).collect() if not _OTHER.search(r["word"]))
+    return sorted(r["word"] for r in words.filter(F.col("step") >= least).collect() if not OTHER.search(r["word"]))
 
 
 def send_lexicon(spark: SparkSession, words: Sequence[str], tokenizer: str, uri: str) -> str:

@@ -35,20 +35,28 @@ def pack(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64)
-    bits = np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), ids, side="right")
-    selector, taken = np.zeros(n, np.uint8), np.ones(n, np.int64)
-    wide = np.zeros(n + 61, np.int32)
+    wide = bool(ids.max() >> np.uint64(52))
+    bits = (np.searchsorted(np.uint64(1) << np.arange(61, dtype=np.uint64), ids, side="right") if wide else np.frexp(ids.astype(np.float64))[1]).astype(np.uint8)
+    narrow = np.cumsum(np.bincount(bits, minlength=65))
+    selector, taken = np.zeros(n, np.uint8), np.ones(n, np.uint8)
     for s, (width, count) in reversed(list(enumerate(SELECTORS, 1))):
-        # Behind the last id nothing is too wide: the last word is filled up.
-        np.cumsum(bits > width, out=wide[1:n + 1])
-        wide[n + 1:] = wide[n]
-        fits = wide[count:count + n] == wide[:n]
+        if narrow[width] < count < n and bits[-1] > width:
+            continue
+        # Runs of ids that are not wider; behind the last id nothing is too wide, as the last word is filled up.
+        edge = np.concatenate([[-1], np.flatnonzero(bits > width), [n + 61]])
+        runs = np.diff(edge) - count
+        long = np.flatnonzero(runs > 0)
+        start = edge[long] + 1
+        change = np.zeros(n + 1, np.int8)
+        change[start[start < n]] = 1
+        change[np.minimum(start + runs[long], n)[start < n]] -= 1
+        fits = np.cumsum(change[:n], dtype=np.int8).view(bool)
         np.copyto(selector, s, where=fits)
         np.copyto(taken, count, where=fits)
-    ahead, at, starts = (np.arange(n) + taken).tolist(), 0, []
+    step, at, starts = taken.tobytes(), 0, []
     while at < n:
         starts.append(at)
-        at = ahead[at]
+        at += step[at]
     begin = np.array(starts)
     chosen = selector[begin]
     place = np.concatenate([[0], np.cumsum(np.where(chosen == ESCAPE, 2, 1))])
@@ -57,8 +65,10 @@ def pack(ids: np.ndarray) -> np.ndarray:
     for s, (width, count) in enumerate(SELECTORS, 1):
         mine = np.flatnonzero(chosen == s)
         if len(mine):
-            values = filled[begin[mine][:, None] + np.arange(count)] << (np.arange(count, dtype=np.uint64) * np.uint64(width))
-            words[place[mine]] = np.bitwise_or.reduce(values, axis=1) | (np.uint64(s) << np.uint64(60))
+            at, own = begin[mine], np.full(len(mine), np.uint64(s) << np.uint64(60))
+            for k in range(count):
+                own |= filled[at + k] << np.uint64(k * width)
+            words[place[mine]] = own
     mine = np.flatnonzero(chosen == ESCAPE)
     words[place[mine] + 1] = ids[begin[mine]]
     return words

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,9 @@ SLICE = 2_000_000
 #: Fixed pattern of the word-end tokenizer: none of its alternatives holds white space.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Any character whose class, lower case or composition may differ between libraries; white space beyond ASCII.
+OTHER = re.compile("[^\\t-\\r -~\xa1-įı-ɏ]")
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -62,7 +66,8 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
-            self.spaces = _spaces(json.load(file))
+            spec = json.load(file)
+        self.spaces, self.special = _spaces(spec), [t["content"] for t in spec.get("added_tokens") or []]
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes] = {}
@@ -83,35 +88,56 @@ class Encoder:
         known = dict(zip(plain, own))
         return [known[p] if p in known else self.whole([prefix + p])[0] for p in parts]
 
-    def _learn(self, memory: dict[str, bytes | None], parts: set[str], prefix: str) -> None:
-        clean = list(parts)
-        if self.spaces == "kept":
-            clean = [p for p in parts if p and not p[0].isspace() and not p[-1].isspace()]
-            memory.update(dict.fromkeys(parts))
-        if not clean:
-            return
-        if memory is self.first and self.spaces == "kept":
+    def _learn_kept(self, memory: dict[str, bytes | None], parts: set[str], prefix: str) -> None:
+        clean = [p for p in parts if p and not p[0].isspace() and not p[-1].isspace()]
+        memory.update(dict.fromkeys(parts))
+        if memory is self.first:
             memory.update(zip(clean, self.whole(clean)))
-            return
-        # A comma or stop behind a letter is a token of its own, and letter case may not count.
-        marked = [(p, p[:-1], p[-1]) if p[-1] in ",." and p[-2:-1].isalpha() else (p, p, "") for p in clean if p]
-        if self.spaces == "dropped":
-            marked = [(p, q.lower() if q.isascii() else q, m) for p, q, m in marked]
-            memory[""] = b""
+        else:
+            self._learn_marked(memory, clean, prefix)
+
+    def _learn_marked(self, memory: dict[str, bytes | None], parts: list[str], prefix: str) -> None:
+        """A comma or stop behind a letter is a token of its own, so the part before it is learned."""
+        marked = [(p, p[:-1], p[-1]) if p[-1] in ",." and p[-2:-1].isalpha() else (p, p, "") for p in parts]
         wanted = list({q for _, q, _ in marked if memory.get(q) is None})
         known = dict(zip(wanted, self._parted(wanted, prefix)))
         if not self.marks:
             self.marks = dict(zip(["", ",", "."], self.whole(["", ",", "."])))
-        memory.update({p: (known.get(q) if q in known else memory[q]) + self.marks[m] for p, q, m in marked})
+        memory.update([(p, (known[q] if q in known else memory[q]) + self.marks[m]) for p, q, m in marked])
+
+    def _forget(self, memory: dict[str, bytes | None], parts: set[str]) -> None:
+        if len(memory) > REMEMBERED:
+            for part in parts:
+                del memory[part]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.spaces is None:
             return self.whole(texts)
+        return self._encode_kept(texts) if self.spaces == "kept" else self._encode_dropped(texts)
+
+    def _encode_dropped(self, texts: list[str]) -> list[bytes]:
+        """Texts of well-known characters are split in lower case, others at spaces only, as they are."""
+        def parts(text: str) -> list[str]:
+            low = text.lower()
+            return text.split(" ") if OTHER.search(text) or any(s in low for s in self.special) else low.split()
+
+        split, known = [parts(t) for t in texts], self.later
+        missing = set().union(*split).difference(known)
+        if missing:
+            if "" in missing:
+                known[""] = b""
+            self._learn_marked(known, [p for p in missing if p], "")
+        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        self._forget(known, missing)
+        return out
+
+    def _encode_kept(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        first, later, prefix = self.first, self.later, " " if self.spaces == "kept" else ""
-        added = [(first, {p[0] for p in split}.difference(first), ""), (later, set().union(*(p[1:] for p in split)).difference(later), prefix)]
-        for memory, missing, before in added:
-            self._learn(memory, missing, before)
+        first, later = self.first, self.later
+        added = [(first, {p[0] for p in split}.difference(first), ""), (later, set().union(*(p[1:] for p in split)).difference(later), " ")]
+        for memory, missing, prefix in added:
+            if missing:
+                self._learn_kept(memory, missing, prefix)
         out: list[bytes] = []
         for text, parts in zip(texts, split):
             head, rest = first[parts[0]], [later[p] for p in parts[1:]]
@@ -120,9 +146,7 @@ class Encoder:
             else:
                 out.append(head + b"".join(rest))
         for memory, missing, _ in added:
-            if len(memory) > REMEMBERED:
-                for part in missing:
-                    del memory[part]
+            self._forget(memory, missing)
         return out
 
 
