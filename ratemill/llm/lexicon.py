@@ -26,6 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratemill.llm.memory import remembered
 from ratemill.llm.tokens import OTHER, WORD_SPLIT, slices
 
 #: Words of a lexicon, at most.
@@ -40,7 +41,6 @@ STEPS = 8
 LONG = 96
 
 _WORD = regex.compile(WORD_SPLIT)
-_opened: dict[str, "Lexicon"] = {}
 _NEVER = np.iinfo(np.int32).max
 
 
@@ -308,11 +308,10 @@ class Lexicon:
 
 def opened(name: str, tokenizer: str) -> Lexicon:
     """The lexicon that Spark sent to this executor; one per worker, as long as it is asked for."""
-    path = SparkFiles.get(name)
-    if path not in _opened:
-        _opened.clear()
-        _opened[path] = Lexicon(path, tokenizer)
-    return _opened[path]
+    own = remembered(f"lexicon {name}")
+    if not own:
+        own["lexicon"] = Lexicon(SparkFiles.get(name), tokenizer)
+    return own["lexicon"]
 
 
 # ---------------------------------------------------------------- jobs

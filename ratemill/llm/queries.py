@@ -37,6 +37,18 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """All rows as ``row``, with a ``row_key`` of their own, written to scratch: ``doc_id`` may be null or repeated, and verdicts are about rows."""
+    path = scratch_path(spark, "numbered")
+    docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("row_key")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """The texts under their ``row_key``, as operators take them."""
+    return rows.select(F.col("row_key").alias("doc_id"), "row.text")
+
+
 @query
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.fit(urls.labelled_urls(spark))
@@ -59,7 +71,7 @@ def _spans(column: str) -> Column:
 @query
 def op3_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = pii.find(docs, pii.train(docs), ["doc_id"])
+    found = pii.find(docs, pii.train(), ["doc_id"])
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -75,10 +87,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    pairs = contamination.contained_items(docs, table(spark, sf_dir, "benchmark"), scratch_path(spark, "benchmark"))
-    found = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("containment").alias("containment"))
-    joined = docs.select("doc_id").join(found.withColumnRenamed("doc_id", "found_id"), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    # Rows are judged, whatever their doc_id; a text is read again only where it may hold an item.
+    rows = numbered(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    pairs = contamination.contained_items(keyed(rows), table(spark, sf_dir, "benchmark"), scratch_path(spark, "benchmark"))
+    found = pairs.groupBy(F.col("doc_id").alias("row_key")).agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("containment").alias("containment"))
+    joined = rows.select("row_key", "row.doc_id").join(found, "row_key", "left")
     return joined.select("doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("containment", F.lit(0.0)).alias("containment"), F.col("item_ids").isNull().alias("kept"))
 
 
@@ -139,5 +152,6 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), scratch_path(spark, "audit"))
 
 
+ORACLES["op5_decontaminate"] = sql.DECONTAMINATE
 ORACLES["op12_prefix_trie"] = sql.PREFIX_TRIE
 ORACLES["op13_filter_audit"] = sql.FILTER_AUDIT

@@ -65,3 +65,17 @@ SELECT part, filter_order, step, cast(kept AS bigint) AS kept, cast(removed AS b
   cast(good_lost AS bigint) AS good_lost, cast(toxic_lost AS bigint) AS toxic_lost, cast(sum(removed) OVER (PARTITION BY part, bit) AS bigint) AS shapley
 FROM rows_
 """
+
+_SHINGLES = "CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END"
+_LOWER = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+')"
+
+DECONTAMINATE = f"""
+WITH docs AS (SELECT row_number() OVER () AS row_key, doc_id, {_LOWER} AS words FROM documents),
+items AS (SELECT item_id, {_LOWER} AS words FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+own AS (SELECT row_key, unnest({_SHINGLES}) AS shingle FROM docs),
+wanted AS (SELECT row_number() OVER () AS item_key, item_id, {_SHINGLES} AS shingles FROM items),
+listed AS (SELECT item_key, item_id, len(shingles) AS n, unnest(shingles) AS shingle FROM wanted),
+pairs AS (SELECT row_key, item_id, max(c) AS containment FROM (SELECT row_key, item_key, item_id, count(*) / n AS c FROM own JOIN listed USING (shingle) GROUP BY row_key, item_key, item_id, n) WHERE c >= 0.8 GROUP BY ALL),
+found AS (SELECT row_key, list(item_id ORDER BY item_id) AS item_ids, max(containment) AS containment FROM pairs GROUP BY ALL)
+SELECT doc_id, coalesce(item_ids, []) AS item_ids, coalesce(containment, 0.0) AS containment, item_ids IS NULL AS kept FROM docs LEFT JOIN found USING (row_key)
+"""

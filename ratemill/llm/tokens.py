@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from ratemill.llm.memory import remembered
+
 #: Parts remembered by one worker; with so many, new ones are encoded each time they come.
 REMEMBERED = 500_000
 #: Stands between parts that are encoded together: one id that no other character has.
@@ -22,8 +24,6 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Any character whose class, lower case or composition may differ between libraries; white space beyond ASCII.
 OTHER = re.compile("[^\\t-\\r -~\xa1-įı-ɏ]")
 
-_encoders: dict[str, "Encoder"] = {}
-
 
 def tokenizer_version(path: str) -> str:
     """Digest of the tokenizer file: another file is another version."""
@@ -151,10 +151,11 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder per worker and file, as long as no other operator comes."""
+    own = remembered(f"encoder of {path}")
+    if not own:
+        own["encoder"] = Encoder(path)
+    return own["encoder"]
 
 
 def slices(batches: Iterator, columns: list[str], text: str = "text", most: int = SLICE) -> Iterator[tuple[list[list], list[str]]]:

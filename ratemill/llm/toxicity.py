@@ -12,12 +12,13 @@ import math
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratemill.llm.memory import remembered
 from ratemill.llm.tokens import slices
 
 WORD = re.compile(r"\w+")
@@ -62,18 +63,26 @@ class Model:
 
     margin: np.ndarray
     bias: float
-    known: dict[str, float] = field(default_factory=dict, repr=False)
+    _version: int | None = None
 
-    def word(self, word: str) -> float:
-        value = self.known.get(word)
+    def word(self, word: str, known: dict[str, float]) -> float:
+        value = known.get(word)
         if value is None:
             value = float(self.margin[features(word)].mean())
-            if len(self.known) < REMEMBERED:
-                self.known[word] = value
+            if len(known) < REMEMBERED:
+                known[word] = value
         return value
 
     def logit(self, words: dict[str, int]) -> float:
-        return sum(self.word(w) * n for w, n in words.items()) / (sum(words.values()) + NEUTRAL) + self.bias
+        known = remembered(f"margins {self.version}")
+        return sum(self.word(w, known) * n for w, n in words.items()) / (sum(words.values()) + NEUTRAL) + self.bias
+
+    @property
+    def version(self) -> int:
+        """Tells the memories of several models apart."""
+        if self._version is None:
+            self._version = zlib.crc32(self.margin.tobytes())
+        return self._version
 
     def score(self, text: str) -> float:
         """Between 0 and 1; a text without words gets the bias alone."""

@@ -5,7 +5,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_every_operator_is_registered_once():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
 
 
 def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
