@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratemill.llm import contamination, packing, pii, setsketch, toxicity
-from ratemill.llm.queries import held_out, table, tokenizer
+from ratemill.llm.queries import held_out, keyed, numbered, table, tokenizer
 from ratemill.session import scratch_path
 
 #: No stage with a model or a tokenizer can be written as SQL.
@@ -19,22 +19,15 @@ ORACLE_SQL = None
 REJECTED = 0.7
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """All columns as one, ``row``, beside the text, so that no column of the table has the name of a result."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below REJECTED. Labels are learned outside the held-out rows."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out())
-    return toxicity.score_texts(docs, model, docs.columns).filter(F.col("score") < REJECTED).select(*docs.columns)
-
-
-def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """All rows with a ``row_key`` of their own, written to scratch: ``doc_id`` may be null or repeated, and verdicts are about rows."""
-    path = scratch_path(spark, "numbered")
-    docs.withColumn("row_key", F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def keyed(rows: DataFrame) -> DataFrame:
-    """The texts under their ``row_key``, as operators take them."""
-    return rows.select(F.col("row_key").alias("doc_id"), "text")
+    return toxicity.score_texts(whole(docs), model, ["row"]).filter(F.col("score") < REJECTED).select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +37,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows = numbered(spark, docs)
     judged = setsketch.near_duplicates(keyed(rows), scratch_path(spark, "near"), similarity=0.8, width=5)
-    groups = judged.select(F.col("doc_id").alias("row_key"), "component_id").join(rows.select("row_key", "doc_id"), "row_key")
+    groups = judged.select(F.col("doc_id").alias("row_key"), "component_id").join(rows.select("row_key", "row.doc_id"), "row_key")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key"))
     kept = groups.groupBy("component_id").agg(least.alias("first")).select("first.row_key")
-    return rows.join(kept, "row_key", "left_semi").select(*docs.columns)
+    return rows.join(kept, "row_key", "left_semi").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +48,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = numbered(spark, docs)
     pairs = contamination.contained_items(keyed(rows), table(spark, sf_dir, "benchmark"), scratch_path(spark, "benchmark"))
     found = pairs.select(F.col("doc_id").alias("row_key")).distinct()
-    return rows.join(found, "row_key", "left_anti").select(*docs.columns)
+    return rows.join(found, "row_key", "left_anti").select("row.*")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; ``n_chars`` follows the new text."""
-    found = pii.find(docs, pii.train(docs), [c for c in docs.columns if c != "text"])
-    return found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = pii.find(whole(docs), pii.train(), ["row"])
+    new = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    return found.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
