@@ -92,7 +92,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = contamination.contained_items(keyed(rows), table(spark, sf_dir, "benchmark"), scratch_path(spark, "benchmark"))
     found = pairs.groupBy(F.col("doc_id").alias("row_key")).agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("containment").alias("containment"))
     joined = rows.select("row_key", "row.doc_id").join(found, "row_key", "left")
-    return joined.select("doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("containment", F.lit(0.0)).alias("containment"), F.col("item_ids").isNull().alias("kept"))
+    listed = F.coalesce(F.array_join(F.col("item_ids").cast("array<string>"), ","), F.lit(""))
+    return joined.select("doc_id", F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), listed.alias("item_ids"), F.coalesce("containment", F.lit(0.0)).alias("containment"), F.col("item_ids").isNull().alias("kept"))
 
 
 @query

@@ -76,6 +76,6 @@ own AS (SELECT row_key, unnest({_SHINGLES}) AS shingle FROM docs),
 wanted AS (SELECT row_number() OVER () AS item_key, item_id, {_SHINGLES} AS shingles FROM items),
 listed AS (SELECT item_key, item_id, len(shingles) AS n, unnest(shingles) AS shingle FROM wanted),
 pairs AS (SELECT row_key, item_id, max(c) AS containment FROM (SELECT row_key, item_key, item_id, count(*) / n AS c FROM own JOIN listed USING (shingle) GROUP BY row_key, item_key, item_id, n) WHERE c >= 0.8 GROUP BY ALL),
-found AS (SELECT row_key, list(item_id ORDER BY item_id) AS item_ids, max(containment) AS containment FROM pairs GROUP BY ALL)
-SELECT doc_id, coalesce(item_ids, []) AS item_ids, coalesce(containment, 0.0) AS containment, item_ids IS NULL AS kept FROM docs LEFT JOIN found USING (row_key)
+found AS (SELECT row_key, count(*) AS n_items, string_agg(cast(item_id AS varchar), ',' ORDER BY item_id) AS item_ids, max(containment) AS containment FROM pairs GROUP BY ALL)
+SELECT doc_id, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids, coalesce(containment, 0.0) AS containment, item_ids IS NULL AS kept FROM docs LEFT JOIN found USING (row_key)
 """
