@@ -25,13 +25,30 @@ def average_bootstraps(df: DataFrame, keys: Sequence[str] | None = None) -> Data
     return df.groupBy(*keys).agg(F.avg(no_nan("value")).alias("value"))
 
 
+def prefix_means(df: DataFrame, max_x: int, keys: Sequence[str]) -> DataFrame:
+    """One row per key with ``means``: an array of (x, value), the mean of the runs with
+    ``bootstrap_id < x`` for x = 1..max_x where there are any rows.
+
+    The shuffle carries one sum and two counts per run and key; running sums follow it, added
+    in the order of the runs.
+    """
+    run, v = F.col("bootstrap_id"), no_nan("value")
+    per_run = [agg for i in range(max_x) for agg in (
+        F.sum(F.when(run == i, v)).alias(f"_s{i}"), F.count(F.when(run == i, v)).alias(f"_n{i}"), F.count_if(run == i).alias(f"_r{i}"))]
+    known = df.filter((run >= 0) & (run < max_x)).groupBy(*keys).agg(*per_run)
+    total, n, rows, means = F.lit(0.0), F.lit(0), F.lit(0), []
+    for i in range(max_x):
+        # Columns of their own, so that a later prefix does not add up the earlier ones again.
+        known = known.withColumns({f"_s{i}": total + F.coalesce(f"_s{i}", F.lit(0.0)), f"_n{i}": n + F.col(f"_n{i}"), f"_r{i}": rows + F.col(f"_r{i}")})
+        total, n, rows = F.col(f"_s{i}"), F.col(f"_n{i}"), F.col(f"_r{i}")
+        means.append(F.when(rows > 0, F.struct(F.lit(i + 1).alias("x"), F.try_divide(total, n).alias("value"))))
+    return known.select(*keys, F.array_compact(F.array(*means)).alias("means"))
+
+
 def prefix_average(df: DataFrame, max_x: int, keys: Sequence[str] | None = None) -> DataFrame:
     """Mean of the runs with ``bootstrap_id < x`` for x = 1..max_x, in one shuffle."""
     keys = list(keys) if keys else [c for c in df.columns if c not in PER_RUN]
-    spread = df.filter(F.col("bootstrap_id") < max_x).withColumn(
-        "x", F.explode(F.sequence(F.col("bootstrap_id").cast("int") + 1, F.lit(max_x)))
-    )
-    return spread.groupBy(*keys, "x").agg(F.avg(no_nan("value")).alias("value"))
+    return prefix_means(df, max_x, keys).select(*keys, F.inline("means"))
 
 
 def average_folds(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:

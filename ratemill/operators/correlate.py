@@ -2,12 +2,13 @@
 
 Rows are first counted into distinct cells (group, x, y), with partial counts
 before the shuffle, and the cells are checkpointed: they are far fewer than the
-rows, and the large input is read once. How many cells the largest group has is
-then known. Up to ``SMALL_GROUP`` a group fits one task with room to spare and
-is finished there. Beyond that nothing is ordered inside one group by one task:
-values are cut into ranges of similar size, windows run inside a range only, and
-what is carried across ranges are range totals, at most ``RANGES`` rows per
-group. Both ways are exact.
+rows, and the large input is read once. A mergeable quantile summary of every group
+with more than TASK_CELLS cells gives cut points of x and of y. A cut point is a range of its own,
+what lies between two is another, so a range holds a bounded number of cells or
+a single value. Smaller groups have one range. A task finishes one range, or many small
+groups: ranks from its own cells and the totals of the ranges before, and the concordant
+pairs inside. Pairs across ranges come from counts by x range and y range, but for those
+in one y range, which a task of that range counts. All sums are exact.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratemill.functions.values import no_nan
+from ratemill.functions.values import let, no_nan
 from ratemill.session import cut_lineage
 
 RANGES = 256
-SMALL_GROUP = 500_000
+#: Cells that a task holds at most, about: of one range, or of small groups together.
+TASK_CELLS = 200_000
+#: Cut points that a group's summary can give.
+QUANTILES = 1023
 NAN = float("nan")
 
 
@@ -102,39 +106,15 @@ def _cells(df: DataFrame, by: Sequence[str], x: str, y: str, weight: str | None)
     return df.groupBy(*by, no_nan(x).alias("x"), no_nan(y).alias("y")).agg(count.cast("double").alias("n"))
 
 
-def _with_ranks(cells: DataFrame, by: Sequence[str], ranges: int) -> DataFrame:
-    """Cells with the position of both values; null positions where one is missing.
-
-    Both sides of a cell are looked up in one join: a cell becomes an x row and
-    a y row, and the two meet again in a grouped aggregate.
-    """
-    sides = cells.select(*by, "x", "y", "n", F.explode(F.array(
-        F.struct(F.lit(True).alias("is_x"), F.col("x").alias("v")),
-        F.struct(F.lit(False).alias("is_x"), F.col("y").alias("v")),
-    )).alias("s")).select(*by, "x", "y", "n", "s.*")
-    whole = F.col("x").isNotNull() & F.col("y").isNotNull()
-    values = sides.filter(whole).groupBy(*by, "is_x", "v").agg(F.sum("n").alias("n"))
-    ranks = rank_values(values, [*by, "is_x"], "v", "n", ranges).select(
-        *[F.col(c).alias(f"_{c}") for c in by], F.col("is_x").alias("_is_x"), F.col("v").alias("_v"),
-        F.struct("rank", "dense", "range", "total", "distinct", "mean", "ties").alias("at"),
-    )
-    match = (sides["is_x"] == ranks["_is_x"]) & (sides["v"] == ranks["_v"]) & whole
-    for c in by:
-        match = match & sides[c].eqNullSafe(ranks[f"_{c}"])
-    return sides.join(ranks, match, "left").groupBy(*by, "x", "y").agg(
-        F.max("n").alias("n"),
-        F.max(F.when(F.col("is_x"), F.col("at"))).alias("at_x"),
-        F.max(F.when(~F.col("is_x"), F.col("at"))).alias("at_y"),
-    )
-
-
 def correlations(df: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", weight: str | None = None,
-                 small_group: int = SMALL_GROUP, ranges: int = RANGES) -> DataFrame:
-    """One row per group: n, kendalltau, pearson, spearman.
+                 task_cells: int = TASK_CELLS) -> DataFrame:
+    """One row per group: n, kendalltau, pearson, spearman, and sums over ties.
 
     Fewer than two rows, or a missing value anywhere in the group, give NaN; a
     constant side gives 0 for all three. ``weight`` names a column that says how
-    often a row counts. Runs two jobs: the cells, and the size of the largest group.
+    often a row counts. No task gets more than about ``task_cells`` cells, whatever the
+    size of a group. Runs two jobs: the cells, and the sizes of groups; where a group has more
+    than one range, also one for its cut points.
     """
     # Own names inside, whatever the caller's columns are called.
     inner = {c: f"_g{i}" for i, c in enumerate(by)}
@@ -144,147 +124,232 @@ def correlations(df: DataFrame, by: Sequence[str], x: str = "x", y: str = "y", w
     cells = cut_lineage(_cells(renamed, keys, "x", "y", "w" if weight else None))
     sizes = cells.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
     largest, total = sizes[0] or 0, sizes[1] or 0
-    sums = _sums_in_task(cells, keys, total) if largest <= small_group else _sums_by_range(cells, keys, ranges)
-    return _finish(sums, inner)
+    parts = max(cells.sparkSession.sparkContext.defaultParallelism, -(-total // task_cells))
+    if largest <= task_cells:
+        return _finish(_task_sums(cells.select(*keys, "x", "y", "n", *_alone()), keys, parts), inner)
+    return _finish(_ranged_sums(cells, keys, parts, task_cells), inner)
+
+
+SUM_COLUMNS = ["rows", "gaps", "concordant", "tx", "ty", "txy", "sxy", "sxx", "syy", "rxy", "rxx", "ryy", "x0", "x1", "y0", "y1"]
+END_COLUMNS = ["min_x", "max_x", "min_y", "max_y"]
+#: What a cell of a group with several ranges knows besides itself: its x range, the totals before it, the
+#: weight of a single-valued range, its rank of y, means and weight of the group, and what the task of its y range counted.
+KNOWN = ["before_x", "point_x", "rank_y", "mean_x", "mean_y", "total", "near", "ty_near", "y0_near", "y1_near"]
+
+
+def _alone() -> list[Column]:
+    """KNOWN of cells whose group is finished in one task."""
+    return [F.lit(0).alias("range_x"), F.lit(None).cast("long").alias("unit"), *[F.lit(None).cast("double").alias(c) for c in KNOWN]]
 
 
-SUM_COLUMNS = ["rows", "gaps", "concordant", "tx", "ty", "txy", "sxy", "sxx", "syy", "rxy", "rxx", "ryy",
-               "min_x", "max_x", "min_y", "max_y"]
-CELLS_PER_TASK = 200_000
+def _starts(*keys):
+    """Where a new combination of the sorted keys begins."""
+    import numpy as np
 
+    new = np.zeros(len(keys[0]), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
 
-def _sums_in_task(cells: DataFrame, by: Sequence[str], total: int) -> DataFrame:
-    """The sums of whole groups, many small groups to a task, for groups of checked size."""
+
+def _carry(values, new):
+    """The value at the last beginning, for every place."""
+    import numpy as np
+
+    return values[np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
+def _positions(g, v, n, count):
+    """Dense rank, average rank within the group, and the sums over ties of every group: pairs and third order."""
+    import numpy as np
+
+    order = np.lexsort((v, g))
+    gs, vs = g[order], v[order]
+    run = np.cumsum(_starts(gs, vs)) - 1
+    w, rg = np.bincount(run, weights=n[order]), gs[_starts(gs, vs)]
+    before, new = np.cumsum(w) - w, _starts(rg)
+    rank, dense = np.empty(len(v)), np.empty(len(v), dtype=np.int64)
+    rank[order] = (before - _carry(before, new) + (w + 1.0) / 2.0)[run]
+    dense[order] = (np.arange(len(w)) - _carry(np.arange(len(w)), new))[run]
+    ties = [np.bincount(rg, weights=t, minlength=count) for t in (w * (w - 1) / 2, w * (w - 1) * (w - 2), w * (w - 1) * (2 * w + 5))]
+    return dense, rank, ties
+
+
+def _concordant(g, first, second, n, count):
+    """Pairs of each group with both dense ranks in the same strict order.
+
+    Two ranks r < s part at the highest bit in which they differ, where r has 0 and s
+    has 1 and all higher bits agree. So per bit level the cells with equal higher bits are
+    put in the order of ``first``, and each with 1 counts those with 0 before it.
+    """
+    import numpy as np
+
+    out = np.zeros(count)
+    for level in range(int(second.max(initial=0)).bit_length()):
+        high = second >> (level + 1)
+        order = np.lexsort((first, high, g))
+        one = ((second[order] >> level) & 1).astype(bool)
+        zeros = np.where(one, 0.0, n[order])
+        before = np.cumsum(zeros) - zeros
+        smaller = _carry(before, _starts(g[order], high[order], first[order])) - _carry(before, _starts(g[order], high[order]))
+        out += np.bincount(g[order][one], weights=(n[order] * smaller)[one], minlength=count)
+    return out
+
+
+def _task_sums(cells: DataFrame, by: Sequence[str], parts: int) -> DataFrame:
+    """The sums of each (group, x range): of cells with KNOWN, ``range_x`` and ``unit``, the number of its own task."""
     by = list(by)
-    columns = list(SUM_COLUMNS)
+    columns = [*SUM_COLUMNS, *END_COLUMNS]
     fields = [f for f in cells.schema.fields if f.name in by]
-    parts = max(cells.sparkSession.sparkContext.defaultParallelism, -(-total // CELLS_PER_TASK))
-    part = F.pmod(F.xxhash64(*by), F.lit(parts)) if by else F.lit(0)
+    part = F.struct(F.when(F.col("unit").isNull(), F.pmod(F.xxhash64(*by), F.lit(parts)) if by else F.lit(0).cast("long")).alias("small"), F.col("unit"))
 
-    def groups(pdf):
+    def sums(pdf):
         import numpy as np
         import pandas as pd
 
-        g = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(pdf), dtype=int)
+        named = [*by, "range_x"]
+        g = pdf.groupby(named, dropna=False, sort=False).ngroup().to_numpy()
         count = int(g.max()) + 1
         first = np.full(count, len(pdf))
         np.minimum.at(first, g, np.arange(len(pdf)))
-        n, x, y = (pdf[c].to_numpy(dtype=np.float64) for c in ("n", "x", "y"))
+        n, x, y, *known = (pdf[c].to_numpy(dtype=np.float64) for c in ("n", "x", "y", *KNOWN))
         whole = ~(np.isnan(x) | np.isnan(y))
+        out = {"rows": np.bincount(g, weights=n, minlength=count), "gaps": np.bincount(g, weights=np.where(whole, 0.0, n), minlength=count)}
+        g, n, x, y = g[whole], n[whole], x[whole], y[whole]
+        before_x, point_x, rank_y, mean_x, mean_y, total, near, ty_near, y0_near, y1_near = (k[whole] for k in known)
 
-        def per_group(values, at=None):
-            return np.bincount(g if at is None else at, weights=values, minlength=count)
+        def per_group(values):
+            return np.bincount(g, weights=values, minlength=count)
 
-        gaps = per_group(np.where(whole, 0.0, n))
-        out = {"rows": per_group(n), "gaps": np.where(gaps > 0, gaps, np.nan)}
-        g, n, x, y = g[whole], n[whole], x[whole], y[whole]
-        weight = per_group(n)
-
-        def starts(*keys):
-            """Where a new combination of the sorted keys begins."""
-            new = np.zeros(len(keys[0]), dtype=bool)
-            new[:1] = True
-            for k in keys:
-                new[1:] |= k[1:] != k[:-1]
-            return new
-
-        def carry(values, new):
-            """The value at the last beginning, for every place."""
-            return values[np.flatnonzero(new)][np.cumsum(new) - 1]
-
-        def positions(v, axis):
-            order = np.lexsort((v, g))
-            gs, vs = g[order], v[order]
-            run = np.cumsum(starts(gs, vs)) - 1
-            w, rg = np.bincount(run, weights=n[order]), gs[starts(gs, vs)]
-            before, new = np.cumsum(w) - w, starts(rg)
-            rank, dense = np.empty(len(v)), np.empty(len(v), dtype=np.int64)
-            rank[order] = (before - carry(before, new) + (w + 1.0) / 2.0)[run]
-            dense[order] = (np.arange(len(w)) - carry(np.arange(len(w)), new))[run]
-            out[f"t{axis}"] = per_group(w * (w - 1.0) / 2.0, rg)
-            low, high = np.full(count, np.nan), np.full(count, np.nan)
-            low[gs[starts(gs)]] = vs[starts(gs)]
-            high[gs[::-1][starts(gs[::-1])]] = vs[::-1][starts(gs[::-1])]
-            out[f"min_{axis}"], out[f"max_{axis}"] = low, high
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mean = per_group(n * v) / weight
-            return dense, rank - (weight[g] + 1.0) / 2.0, v - mean[g]
+        def ends(v):
+            low, high = np.full(count, np.inf), np.full(count, -np.inf)
+            np.minimum.at(low, g, v)
+            np.maximum.at(high, g, v)
+            return np.where(np.isinf(low), np.nan, low), np.where(np.isinf(high), np.nan, high)
 
         if len(g):
-            dense_x, rx, dx = positions(x, "x")
-            dense_y, ry, dy = positions(y, "y")
+            ranged = ~np.isnan(total)
+            weight = per_group(n)
+            dense_x, rx, ties_x = _positions(g, x, n, count)
+            dense_y, ry, ties_y = _positions(g, y, n, count)
+            # A single-valued range may be in several tasks: its ties and its rank come from its total.
+            rx = np.where(np.isnan(point_x), rx, (point_x + 1.0) / 2.0) + np.where(ranged, before_x, 0.0)
+            ry = np.where(ranged, rank_y, ry)
+            alone = per_group(ranged) == 0
+            interval = per_group(~np.isnan(point_x)) == 0
+            for name, values in zip(("tx", "x0", "x1"), ties_x):
+                out[name] = np.where(interval, values, 0.0)
+            for name, values, others in zip(("ty", "y0", "y1"), ties_y, (ty_near, y0_near, y1_near)):
+                out[name] = np.where(alone, values, per_group(np.nan_to_num(others)))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                middle = [np.where(ranged, m, (per_group(n * v) / weight)[g]) for m, v in ((mean_x, x), (mean_y, y))]
+            size = np.where(ranged, total, weight[g])
+            dx, dy, rx, ry = x - middle[0], y - middle[1], rx - (size + 1.0) / 2.0, ry - (size + 1.0) / 2.0
             for name, p, q in (("sxy", dx, dy), ("sxx", dx, dx), ("syy", dy, dy), ("rxy", rx, ry), ("rxx", rx, rx), ("ryy", ry, ry)):
                 out[name] = per_group(n * p * q)
             out["txy"] = per_group(n * (n - 1.0) / 2.0)
-            concordant = np.zeros(count)
-            for level in range(int(dense_y.max()).bit_length()):
-                high = dense_y >> (level + 1)
-                order = np.lexsort((dense_x, high, g))
-                one = ((dense_y[order] >> level) & 1).astype(bool)
-                zeros = np.where(one, 0.0, n[order])
-                before = np.cumsum(zeros) - zeros
-                smaller = carry(before, starts(g[order], high[order], dense_x[order])) - carry(before, starts(g[order], high[order]))
-                concordant += per_group((n[order] * smaller)[one], g[order][one])
-            out["concordant"] = concordant
+            out["concordant"] = _concordant(g, dense_x, dense_y, n, count) + per_group(np.nan_to_num(near))
+            out["min_x"], out["max_x"] = ends(x)
+            out["min_y"], out["max_y"] = ends(y)
         frame = pdf.iloc[first][by].reset_index(drop=True)
         for c in columns:
-            frame[c] = out.get(c, np.nan)
+            frame[c] = out.get(c, np.full(count, np.nan if c in END_COLUMNS else 0.0))
         return pd.DataFrame(frame)
 
     schema = T.StructType([*fields, *[T.StructField(c, T.DoubleType()) for c in columns]])
-    return cells.groupBy(part.alias("_part")).applyInPandas(groups, schema)
+    return cells.groupBy(part.alias("_part")).applyInPandas(sums, schema)
 
 
-def _sums_by_range(cells: DataFrame, by: Sequence[str], ranges: int) -> DataFrame:
-    """The same sums without ever holding a group in one task.
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Null-safe join; the other columns of ``right`` are added."""
+    named = right.withColumnsRenamed({k: f"_k{k}" for k in keys})
+    return left.join(named, [left[k].eqNullSafe(named[f"_k{k}"]) for k in keys] or F.lit(True), how).drop(*(f"_k{k}" for k in keys))
 
-    Concordant pairs are counted without forming pairs: two dense y ranks r < s
-    part at the highest bit in which they differ, where r has 0 and s has 1 and
-    all higher bits agree. So per bit level the rows with equal higher bits are
-    put in x order, and each 1-row counts the 0-rows with smaller x. That is one
-    copy of the cells per bit; level -1 carries the plain sums along.
-    """
-    by = list(by)
-    ranked = _with_ranks(cells, by, ranges)
-    at_x, at_y, n = F.col("at_x"), F.col("at_y"), F.col("n")
-    bits = F.length(F.bin(F.coalesce(at_y["distinct"], F.lit(1)) - 1))
-    levels = F.when(at_y.isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(-1), bits - 1))
-    spread = ranked.withColumn("level", F.explode(levels))
-    sums_row, d = F.col("level") == -1, at_y["dense"]
-    one = F.getbit(d, F.greatest(F.col("level"), F.lit(0))) == 1
-
-    def plain(value: Column) -> Column:
-        return F.sum(F.when(sums_row, value))
-
-    dx, dy = F.col("x") - at_x["mean"], F.col("y") - at_y["mean"]
-    rx = at_x["rank"] - (at_x["total"] + 1.0) / 2.0
-    ry = at_y["rank"] - (at_y["total"] + 1.0) / 2.0
-    plain_sums = ["sxy", "sxx", "syy", "rxy", "rxx", "ryy", "txy", "rows", "gaps"]
-    key = [*by, "level", "prefix"]
-    per_x = spread.withColumn(
-        "prefix", F.when(sums_row, F.lit(0)).otherwise(F.call_function("shiftright", d, F.col("level") + 1))
-    ).groupBy(*key, F.coalesce(at_x["range"], F.lit(-1)).alias("range"), "x").agg(
-        F.sum(F.when(~sums_row & ~one, n)).alias("zeros"),
-        F.sum(F.when(~sums_row & one, n)).alias("ones"),
-        plain(n * dx * dy).alias("sxy"), plain(n * dx * dx).alias("sxx"), plain(n * dy * dy).alias("syy"),
-        plain(n * rx * ry).alias("rxy"), plain(n * rx * rx).alias("rxx"), plain(n * ry * ry).alias("ryy"),
-        plain(n * (n - 1.0) / 2.0).alias("txy"), plain(n).alias("rows"),
-        plain(F.when(at_x.isNull() | at_y.isNull(), n)).alias("gaps"),
-        F.max(at_x["ties"]).alias("tx"), F.max(at_y["ties"]).alias("ty"),
-        F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"),
-    )
-    extremes = [(F.max, "tx"), (F.max, "ty"), (F.min, "min_x"), (F.max, "max_x"), (F.min, "min_y"), (F.max, "max_y")]
-    inside = Window.partitionBy(*key, "range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    near = F.col("ones") * F.coalesce(F.sum("zeros").over(inside), F.lit(0.0))
-    per_range = per_x.withColumn("near", near).groupBy(*key, "range").agg(
-        *[F.sum(c).alias(c) for c in ("near", "zeros", "ones", *plain_sums)], *[f(c).alias(c) for f, c in extremes]
-    )
-    across = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    far = F.col("ones") * F.coalesce(F.sum("zeros").over(across), F.lit(0.0))
-    return per_range.withColumn("far", far).groupBy(*by).agg(
-        (F.coalesce(F.sum("near"), F.lit(0.0)) + F.coalesce(F.sum("far"), F.lit(0.0))).alias("concordant"),
-        *[F.sum(c).alias(c) for c in plain_sums], *[f(c).alias(c) for f, c in extremes]
-    )
+
+def _ranged_sums(cells: DataFrame, by: Sequence[str], parts: int, task_cells: int) -> DataFrame:
+    """One row of sums per group where some groups have several ranges. Runs a job for the cut points."""
+    by = [*by, "_all"]
+    cells = cells.withColumn("_all", F.lit(0))
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull()
+    steps = [(i + 1) / (QUANTILES + 1) for i in range(QUANTILES)]
+
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    summary = cells.filter(whole).groupBy(*by).agg(
+        F.count("*").alias("cells"), *(F.percentile_approx(v, steps, 20_000).alias(f"cuts_{v}") for v in ("x", "y")),
+        F.sum("n").alias("total"), (F.sum(n * x) / F.sum("n")).alias("mean_x"), (F.sum(n * y) / F.sum("n")).alias("mean_y"))
+
+    def cuts(value: str) -> Column:
+        """Every so many of the summary's quantiles, as the group's size asks for; equal ones are one cut."""
+        ranges = F.least(F.ceil(F.col("cells") / task_cells) + 1, F.lit(QUANTILES + 1)).cast("int")
+        wanted = F.transform(F.sequence(F.lit(1), ranges - 1), lambda i: F.get(f"cuts_{value}", F.floor(i * (QUANTILES + 1) / ranges).cast("int") - 1))
+        return F.array_distinct(wanted).alias(f"cuts_{value}")
+
+    large = cut_lineage(summary.filter(F.col("cells") > task_cells).select(*by, cuts("x"), cuts("y"), "total", "mean_x", "mean_y"))
+
+    def place(value: str) -> Column:
+        smaller = F.size(F.filter(f"cuts_{value}", lambda c: c < F.col(value)))
+        return (2 * smaller + F.array_contains(f"cuts_{value}", F.col(value)).cast("int")).alias(f"range_{value}")
+
+    small = _joined(cells, large.select(*by), by, "left_anti").select(*by, "x", "y", "n", *_alone())
+    placed = _joined(cells, large, by).select(*by, "x", "y", "n", *(F.coalesce(place(v), F.lit(-1)).alias(f"range_{v}") for v in ("x", "y")), "total", "mean_x", "mean_y")
+    counts = cut_lineage(placed.filter(whole).groupBy(*by, "range_x", "range_y").agg(F.sum("n").alias("n"), F.count("*").alias("cells")))
+
+    def totals(value: str) -> DataFrame:
+        """Weight of every range and of those before it, and the number of tasks of a single-valued one."""
+        order = Window.partitionBy(*by).orderBy(f"range_{value}").rowsBetween(Window.unboundedPreceding, -1)
+        own = counts.groupBy(*by, f"range_{value}").agg(F.sum("n").alias("n"), F.sum("cells").alias("cells"))
+        point = F.col(f"range_{value}") % 2 == 1
+        return own.select(*by, f"range_{value}", F.coalesce(F.sum("n").over(order), F.lit(0.0)).alias(f"before_{value}"), F.when(point, F.col("n")).alias(f"point_{value}"),
+                          F.when(point, F.ceil(F.col("cells") / task_cells)).otherwise(1).alias(f"tasks_{value}"))
+
+    in_y = _joined(placed.filter(whole), totals("y"), [*by, "range_y"])
+    # A single-valued y range has nothing to count; in others a task gives ranks, ties and pairs of different x ranges.
+    points = in_y.filter("point_y is not null").withColumn("rank_y", F.col("before_y") + (F.col("point_y") + 1.0) / 2.0)
+    carried = [*by, "x", "y", "n", "range_x", "total", "mean_x", "mean_y"]
+    names = [*carried, "rank_y", "near", "ty_near", "y0_near", "y1_near"]
+
+    def within(pdf):
+        import numpy as np
+
+        n, y = pdf["n"].to_numpy(dtype=np.float64), pdf["y"].to_numpy(dtype=np.float64)
+        g, at = np.zeros(len(pdf), int), pdf["range_x"].to_numpy()
+        dense, rank, ties = _positions(g, y, n, 1)
+        out = pdf[carried].copy()
+        out["rank_y"] = rank + pdf["before_y"].to_numpy()
+        counted = [_concordant(g, at, dense, n, 1), *ties]
+        for c, values in zip(("near", "ty_near", "y0_near", "y1_near"), counted):
+            out[c] = np.where(np.arange(len(pdf)) == 0, values[0], 0.0)
+        return out
+
+    types = {f.name: f.dataType for f in placed.schema.fields}
+    schema = T.StructType([T.StructField(c, types.get(c, T.DoubleType())) for c in names])
+    inside = in_y.filter("point_y is null").groupBy(*by, "range_y").applyInPandas(within, schema)
+    ranked = points.select(*names[:-4], *(F.lit(0.0).alias(c) for c in names[-4:])).unionByName(inside)
+    in_x = _joined(ranked, totals("x"), [*by, "range_x"])
+    missing = placed.filter(~whole).withColumn("range_x", F.lit(-1))
+    for c in ("rank_y", "before_x", "point_x", "near", "ty_near", "y0_near", "y1_near"):
+        missing = missing.withColumn(c, F.lit(None).cast("double"))
+    task = F.when(F.col("point_x").isNull(), 0).otherwise(F.pmod(F.xxhash64("y"), "tasks_x"))
+    own = in_x.withColumn("unit", F.xxhash64(*by, "range_x", task)).unionByName(missing.withColumn("unit", F.xxhash64(*by, F.pmod(F.xxhash64("x", "y"), F.lit(parts)))), allowMissingColumns=True)
+    sums = _task_sums(small.unionByName(own.select(*small.columns)), by, parts)
+
+    # Across ranges: cells of the x ranges before and of the y ranges before, by two windows over the counts.
+    spans = counts.groupBy(*by).agg(F.collect_set("range_x").alias("xs"), F.collect_set("range_y").alias("ys"))
+    grid = spans.select(*by, F.explode("xs").alias("range_x"), "ys").select(*by, "range_x", F.explode("ys").alias("range_y"))
+    filled = _joined(grid, counts, [*by, "range_x", "range_y"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "range_x").orderBy("range_y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    before = F.coalesce(F.sum("below").over(Window.partitionBy(*by, "range_y").orderBy("range_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    pairs = filled.withColumn("below", below).withColumn("before", before).groupBy(*by).agg(F.sum(F.col("n") * F.col("before")).alias("concordant"))
+    extra = [pairs]
+    for value in ("x", "y"):
+        w = F.col(f"point_{value}")
+        tied = totals(value).filter(w.isNotNull()).groupBy(*by).agg(F.sum(w * (w - 1) / 2).alias(f"t{value}"), F.sum(w * (w - 1) * (w - 2)).alias(f"{value}0"), F.sum(w * (w - 1) * (2 * w + 5)).alias(f"{value}1"))
+        extra.append(tied)
+    for rows in extra:
+        sums = sums.unionByName(rows, allowMissingColumns=True)
+    ends = [(F.min if c.startswith("min") else F.max)(no_nan(c)).alias(c) for c in END_COLUMNS]
+    return sums.groupBy(*by).agg(*(F.sum(c).alias(c) for c in SUM_COLUMNS), *ends).drop("_all")
 
 
 def _finish(total: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -297,7 +362,7 @@ def _finish(total: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
     def guarded(value: Column) -> Column:
         return (
-            F.when((count < 2) | no_nan("gaps").isNotNull(), F.lit(NAN))
+            F.when((count < 2) | (F.col("gaps") > 0), F.lit(NAN))
             .when(flat, F.lit(0.0))
             .otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
         )
@@ -307,7 +372,7 @@ def _finish(total: DataFrame, names: Mapping[str, str]) -> DataFrame:
         guarded(tau).alias("kendalltau"),
         guarded(F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))).alias("pearson"),
         guarded(F.try_divide(F.col("rxy"), F.sqrt("rxx") * F.sqrt("ryy"))).alias("spearman"),
-        F.col("tx").alias("ties_x"), F.col("ty").alias("ties_y"),
+        F.col("tx").alias("ties_x"), F.col("ty").alias("ties_y"), *(F.col(c).alias(f"ties_{c}") for c in ("x0", "x1", "y0", "y1")),
     )
 
 
@@ -341,15 +406,61 @@ def _two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), 2.0 * F.exp(-z * z / 2.0) / 2.5066282746310002 * series)
 
 
+#: Terms of the series for the incomplete beta function, and how often its factors are shifted before their own series.
+TERMS, SHIFT = 200, 20
+
+
+def _series(first: Column, ratio) -> Column:
+    """Sum of TERMS terms, each the one before times ``ratio`` of its number."""
+    step = lambda s, k: F.struct((s["sum"] + s["term"]).alias("sum"), (s["term"] * ratio(k.cast("double"))).alias("term"))
+    start = F.struct(F.lit(0.0).alias("sum"), first.cast("double").alias("term"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TERMS - 1)), start, step)["sum"]
+
+
+def _inverse_beta(a: Column) -> Column:
+    """1 / B(1/2, a): the ratio of gamma functions at a + SHIFT by its series in 1/a, brought back factor by factor."""
+    z = a + float(SHIFT)
+    ratio = F.sqrt(z) * (1.0 - 1.0 / (8.0 * z) + 1.0 / (128.0 * z * z) + 5.0 / (1024.0 * z * z * z) - 21.0 / (32768.0 * z * z * z * z))
+    for j in range(SHIFT):
+        ratio = ratio * (a + float(j)) / (a + (j + 0.5))
+    return ratio / 1.7724538509055160273
+
+
+def tail_probability(r: Column, n: Column) -> Column:
+    """Two-sided probability of a correlation of at least ``abs(r)`` among ``n`` independent pairs.
+
+    It is the incomplete beta function I(1 - r²; n/2 - 1, 1/2), by one of two series with positive
+    terms. Two pairs give 1, a correlation of one (with more pairs) 0.
+    """
+    def value(s: Column) -> Column:
+        a, q = s["n"] / 2.0 - 1.0, s["r"] * s["r"]
+        scale = F.pow(1.0 - q, a) * s["beta"]
+        inner = 1.0 - 2.0 * F.abs(s["r"]) * scale * _series(F.lit(1.0), lambda k: (a + 0.5 + k) / (1.5 + k) * q)
+        outer = F.abs(s["r"]) * scale / a * _series(F.lit(1.0), lambda k: (a + 0.5 + k) / (a + 1.0 + k) * (1.0 - q))
+        # Far out only the leading term counts: it is below 1e-17.
+        far = scale / (a * F.abs(s["r"]))
+        return F.when(s["n"] <= 2, F.lit(1.0)).when(q >= 1.0, F.lit(0.0)).when(q > 0.5, outer).when(a * q > 40.0, far).otherwise(inner)
+
+    size = n.cast("double")
+    own = F.struct(r.alias("r"), size.alias("n"), _inverse_beta(size / 2.0 - 1.0).alias("beta"))
+    known = r.isNotNull() & ~F.isnan(r)
+    return F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(1.0), let(own, value)))).otherwise(F.lit(NAN))
+
+
 def correlation_pvalues(scores: DataFrame) -> DataFrame:
-    """Two-sided p-value of Kendall's tau by its large-sample normal form (the
-    tie correction of the variance is left out), on the finished group rows."""
+    """Two-sided p-values of the three statistics, on the finished group rows.
+
+    Pearson and Spearman: ``tail_probability``. Kendall: the normal form with the variance
+    corrected for ties. NaN where the statistic is.
+    """
     n = F.col("n").cast("double")
-    pairs = n * (n - 1.0) / 2.0
-    score = F.col("kendalltau") * F.sqrt(pairs - F.col("ties_x")) * F.sqrt(pairs - F.col("ties_y"))
-    variance = n * (n - 1.0) * (2.0 * n + 5.0) / 18.0
+    m = n * (n - 1.0)
+    score = F.col("kendalltau") * F.sqrt(m / 2.0 - F.col("ties_x")) * F.sqrt(m / 2.0 - F.col("ties_y"))
+    third = F.coalesce(F.try_divide(F.col("ties_x0") * F.col("ties_y0"), 9.0 * m * (n - 2.0)), F.lit(0.0))
+    variance = (m * (2.0 * n + 5.0) - F.col("ties_x1") - F.col("ties_y1")) / 18.0 + F.try_divide(2.0 * F.col("ties_x") * F.col("ties_y"), m) + third
     z = F.abs(F.try_divide(score, F.sqrt(variance)))
-    return scores.withColumn("kendall_pvalue", _two_sided(z))
+    kendall = F.when(F.isnan("kendalltau"), F.lit(NAN)).otherwise(F.coalesce(_two_sided(z), F.lit(1.0)))
+    return scores.withColumns({"kendall_pvalue": kendall, "pearson_pvalue": tail_probability(F.col("pearson"), n), "spearman_pvalue": tail_probability(F.col("spearman"), n)})
 
 
 def correlation_matrix(df: DataFrame, metrics: Sequence[str], keys: Sequence[str], by: Sequence[str] = ("lang",),

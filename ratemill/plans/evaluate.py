@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratemill.functions.values import no_nan
-from ratemill.operators.aggregate import average_raters, prefix_average
+from ratemill.operators.aggregate import average_raters, prefix_means
 from ratemill.operators.correlate import correlations
 from ratemill.operators.relational import join_gold_auto
 from ratemill.schema import DATASETS, KEY, LANG_METRICS
@@ -20,6 +20,16 @@ def short_candidate(df: DataFrame) -> DataFrame:
     return df.withColumn("candidate", F.sha2("candidate", 256))
 
 
+#: What ratings are paired by: the columns that a score table has, and a digest of the whole key.
+SHORT_KEY = ["dataset", "lang", "metric", "_key"]
+
+
+def short_key(df: DataFrame) -> DataFrame:
+    """``_key``: 16 bytes for the whole key, answer text included; missing parts are parts of their own."""
+    parts = [F.coalesce(F.col(c), F.lit("\0")) for c in [*(k for k in KEY if k != "candidate"), "candidate"]]
+    return df.withColumn("_key", F.unhex(F.md5(F.concat_ws("\x1f", *parts))))
+
+
 def pair_ratings(gold: DataFrame, auto: DataFrame, order: Column | str | None = None,
                  keys: Sequence[str] = KEY) -> DataFrame:
     """One row per key that both tables hold: mean human rating and first prediction.
@@ -49,10 +59,6 @@ def pair_ratings(gold: DataFrame, auto: DataFrame, order: Column | str | None =
     )
 
 
-def domain_table(spark, lang_metrics: Mapping[str, Sequence[str]], datasets: Sequence[str]) -> DataFrame:
-    return spark.range(1).select(F.inline(domain_array(lang_metrics, datasets)))
-
-
 def domain_array(lang_metrics: Mapping[str, Sequence[str]], datasets: Sequence[str]) -> Column:
     return F.array(*[
         F.struct(F.lit(scope).alias("scope"), F.lit(lang).alias("lang"), F.lit(metric).alias("metric"))
@@ -70,7 +76,6 @@ def score_rollup(pairs: DataFrame, lang_metrics: Mapping[str, Sequence[str]] = L
     if nan_policy not in ("omit", "propagate"):
         raise ValueError("nan_policy is 'omit' or 'propagate'")
     by = list(by)
-    spark = pairs.sparkSession
     metrics = sorted({m for ms in lang_metrics.values() for m in ms})
     wanted = pairs.filter(F.col("lang").isin(list(lang_metrics)) & F.col("metric").isin(metrics))
     counted = wanted.groupBy(*by, "dataset", "lang", "metric", "value_x", "value_y").agg(F.count("*").alias("n"))
@@ -78,25 +83,19 @@ def score_rollup(pairs: DataFrame, lang_metrics: Mapping[str, Sequence[str]] = L
         F.array(F.lit("ALL")))
     scoped = counted.withColumn("scope", F.explode(scopes))
     stats = correlations(scoped, [*by, "scope", "lang", "metric"], "value_x", "value_y", "n")
-    domain = domain_table(spark, lang_metrics, datasets)
-    if by:
-        runs = stats.select(*by).distinct()
-        domain = runs.select(*by, F.inline(domain_array(lang_metrics, datasets)))
-    full = domain.join(stats, [*by, "scope", "lang", "metric"], "left")
-    three = [F.coalesce(c, F.lit(float("nan"))) for c in ("kendalltau", "pearson", "spearman")]
+    # All statistics of a run in one row, so that the domain is looked up and the grouped pass runs once.
+    place = F.concat_ws("\x1f", "scope", "lang", "metric")
+    table = stats.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(place, F.struct("kendalltau", "pearson", "spearman")))).alias("_m"))
+    full = table.select(*by, "_m", F.inline(domain_array(lang_metrics, datasets))).withColumn("_s", F.try_element_at("_m", place))
+    three = [F.coalesce(F.col(f"_s.{c}"), F.lit(float("nan"))) for c in ("kendalltau", "pearson", "spearman")]
     mean = nan_mean(three) if nan_policy == "omit" else (three[0] + three[1] + three[2]) / 3.0
-    long = full.select(*by, "scope", "lang", "metric", F.inline(F.array(*[
-        F.struct(F.lit(name).alias("stat"), value.alias("value"))
-        for name, value in zip(("kendalltau", "pearson", "spearman", "mean"), [*three, mean])
-    ])))
-    overall_value = F.coalesce(F.avg(no_nan("value")), F.lit(float("nan"))) if nan_policy == "omit" else F.avg("value")
-    overall = (
-        long.filter((F.col("scope") == "ALL") & (F.col("stat") == "mean"))
-        .groupBy(*by, "scope", "lang")
-        .agg(overall_value.alias("value"))
-        .select(*by, "scope", "lang", F.lit("ALL").alias("metric"), F.lit("mean").alias("stat"), "value")
-    )
-    return long.unionByName(overall)
+    rows = [F.struct(F.col("metric").alias("metric"), F.lit(name).alias("stat"), value.alias("value"))
+            for name, value in zip(("kendalltau", "pearson", "spearman", "mean"), [*three, mean])]
+    # The mean over metrics is a fifth row of every metric, and all others are groups of one.
+    part = F.struct(F.lit("ALL").alias("metric"), F.lit("mean").alias("stat"), (no_nan(mean) if nan_policy == "omit" else mean).alias("value"))
+    listed = F.array(*rows)
+    spread = full.select(*by, "scope", "lang", F.inline(F.when(F.col("scope") == "ALL", F.concat(listed, F.array(part))).otherwise(listed)))
+    return spread.groupBy(*by, "scope", "lang", "metric", "stat").agg(F.coalesce(F.avg("value"), F.lit(float("nan"))).alias("value"))
 
 
 def nan_mean(values: Sequence[Column]) -> Column:
@@ -113,30 +112,30 @@ def evaluate(gold: DataFrame, auto: DataFrame, lang_metrics: Mapping[str, Sequen
     ``multi_rater="mean"`` averages the raters of a key; "expand" pairs every
     rater with the prediction, as the strict evaluation does.
     """
-    gold, auto = short_candidate(gold), short_candidate(auto)
+    gold, auto = short_key(gold), short_key(auto)
     if multi_rater == "mean":
-        pairs = pair_ratings(gold, auto, order)
+        pairs = pair_ratings(gold, auto, order, SHORT_KEY)
     elif multi_rater == "expand":
-        first = average_first(auto, order)
-        pairs = join_gold_auto(gold.select(*KEY, "value"), first)
+        first = average_first(auto, order, SHORT_KEY)
+        pairs = join_gold_auto(gold.select(*SHORT_KEY, "value"), first, SHORT_KEY)
     else:
         raise ValueError("multi_rater is 'mean' or 'expand'")
     return score_rollup(pairs, lang_metrics, datasets, nan_policy=nan_policy)
 
 
-def average_first(auto: DataFrame, order: Column | str | None = None) -> DataFrame:
+def average_first(auto: DataFrame, order: Column | str | None = None, keys: Sequence[str] = KEY) -> DataFrame:
     """First prediction per key, by partial aggregation."""
     if order is None:
         order = F.col("_pos") if "_pos" in auto.columns else F.col("value")
     order = F.col(order) if isinstance(order, str) else order
-    return auto.groupBy(*KEY).agg(F.min_by(F.col("value"), order).alias("value"))
+    return auto.groupBy(*keys).agg(F.min_by(F.col("value"), order).alias("value"))
 
 
 def simple_scores(gold: DataFrame, auto: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Mean of the three correlations per metric and their sum over the number of
     requested metrics; NaN is not skipped."""
     by = list(by)
-    pairs = join_gold_auto(short_candidate(gold).select(*KEY, "value"), short_candidate(auto).select(*by, *KEY, "value"))
+    pairs = join_gold_auto(short_key(gold).select(*SHORT_KEY, "value"), short_key(auto).select(*by, *SHORT_KEY, "value"), SHORT_KEY)
     stats = correlations(pairs.filter(F.col("metric").isin(list(metrics))), [*by, "metric"], "value_x", "value_y")
     wanted = gold.sparkSession.createDataFrame([(m,) for m in metrics], "metric string")
     if by:
@@ -152,16 +151,24 @@ def run_scores(gold: DataFrame, runs: DataFrame, by: Sequence[str], lang_metrics
                datasets: Sequence[str] = tuple(DATASETS)) -> DataFrame:
     """Score tables of many runs at once; ``by`` tells the runs apart."""
     by = list(by)
-    human = average_raters(short_candidate(gold))
-    auto = short_candidate(runs).groupBy(*by, *KEY).agg(F.avg(no_nan("value")).alias("value"))
-    return score_rollup(join_gold_auto(human, auto), lang_metrics, datasets, by=by)
+    human = average_raters(short_key(gold), SHORT_KEY)
+    auto = short_key(runs).groupBy(*by, *SHORT_KEY).agg(F.avg(no_nan("value")).alias("value"))
+    return score_rollup(join_gold_auto(human, auto, SHORT_KEY), lang_metrics, datasets, by=by)
 
 
 def per_bootstrap_scores(gold: DataFrame, runs: DataFrame, **domain) -> DataFrame:
     return run_scores(gold, runs, ["bootstrap_id"], **domain)
 
 
-def prefix_scores(gold: DataFrame, runs: DataFrame, max_x: int, by: Sequence[str] = (), **domain) -> DataFrame:
-    """Scores of the mean of the first x runs, for x = 1..max_x."""
-    averaged = prefix_average(short_candidate(runs), max_x, [*by, *KEY])
-    return run_scores(gold, averaged, [*by, "x"], **domain)
+def prefix_scores(gold: DataFrame, runs: DataFrame, max_x: int, by: Sequence[str] = (), lang_metrics: Mapping[str, Sequence[str]] = LANG_METRICS,
+                  datasets: Sequence[str] = tuple(DATASETS)) -> DataFrame:
+    """Scores of the mean of the first x runs, for x = 1..max_x.
+
+    A key is one row, with a running mean per prefix, until it is paired; then it is counted
+    into cells.
+    """
+    by = list(by)
+    means = prefix_means(short_key(runs), max_x, [*by, *SHORT_KEY]).withColumnRenamed("means", "value")
+    paired = join_gold_auto(average_raters(short_key(gold), SHORT_KEY), means, SHORT_KEY)
+    prefixes = paired.select(*by, *SHORT_KEY, "value_x", F.inline("value_y").alias("x", "value_y"))
+    return score_rollup(prefixes, lang_metrics, datasets, by=[*by, "x"])

@@ -61,7 +61,7 @@ def simple_scores(spark, sf):
 def correlations_by_rater(spark, sf):
     pairs = R.join_gold_auto(W.ratings(spark, sf).drop("pos"), W.predictions(spark, sf).select(*KEY, "value"))
     stats = C.correlations(pairs, ["rater_id", "metric"], "value_x", "value_y")
-    return rounded(stats.drop("ties_x", "ties_y"), "kendalltau", "pearson", "spearman")
+    return rounded(stats.select("rater_id", "metric", "n", "kendalltau", "pearson", "spearman"), "kendalltau", "pearson", "spearman")
 
 
 CORR_SOURCE = "raw AS (SELECT l_returnflag AS g, l_quantity AS x, l_extendedprice AS y FROM lineitem),"
@@ -101,13 +101,43 @@ def correlation_guards(spark, sf):
     """Many small groups: single rows, constant sides and missing values."""
     gap = (F.col("metric") == "relevance") & (F.col("encounter_id").cast("long") % 11 == 0)
     pairs = W.predictions(spark, sf).select("encounter_id", F.when(~gap, F.col("value")).alias("x"), F.col("candidate_author_id").cast("double").alias("y"))
-    return rounded(C.correlations(pairs, ["encounter_id"]).drop("ties_x", "ties_y"), "kendalltau", "pearson", "spearman")
+    stats = C.correlations(pairs, ["encounter_id"])
+    return rounded(stats.select("encounter_id", "n", "kendalltau", "pearson", "spearman"), "kendalltau", "pearson", "spearman")
 
 
-@query("correlation_pvalues")
+def _simpson(f: str, low: str, high: str, steps: int = 2000) -> str:
+    """SQL text of an integral of ``f`` over ``t``."""
+    at = f"({low}) + k * (({high}) - ({low})) / {steps}"
+    weighted = f"list_transform(range(0, {steps + 1}), lambda k: (CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * {f.replace('$t', '(' + at + ')')})"
+    return f"(list_sum({weighted}) * (({high}) - ({low})) / {3 * steps})"
+
+
+def _tail_sql(r: str) -> str:
+    angle = f"asin(abs({r}))"
+    area = _simpson("exp((n - 3) * ln(greatest(cos($t), 1e-300)))", angle, f"least(pi() / 2, {angle} + 16 / sqrt(n - 2))")
+    return f"2 * {area} / exp(lgamma(0.5) + lgamma(n / 2.0 - 1) - lgamma(n / 2.0 - 0.5))"
+
+
+_TIED = lambda v: f"(SELECT g, sum(n{v} * (n{v} - 1) * (n{v} - 2)) AS z, sum(n{v} * (n{v} - 1) * (2 * n{v} + 5)) AS o FROM s_r{v} GROUP BY g)"
+
+
+@query("correlation_pvalues", "WITH raw AS (SELECT l_returnflag AS g, l_quantity AS x, l_tax AS y FROM lineitem)," + correlation_ctes("raw", ["g"])
+       + f""", kendall AS (SELECT a.g, a.n, s.pearson, s.spearman, abs(s.kendalltau) * sqrt(n0 - tx) * sqrt(n0 - ty)
+  / sqrt((2 * n0 * (2 * a.n + 5) - t.o - u.o) / 18 + tx * ty / n0 + t.z * u.z / (18 * n0 * (a.n - 2))) AS z FROM s_all a JOIN s_stats s USING (g) JOIN {_TIED('x')} t USING (g) JOIN {_TIED('y')} u USING (g))
+ SELECT g, CAST(n AS BIGINT) AS n, round(2 * {_simpson('exp(-$t * $t / 2)', 'z', 'z + 10')} / sqrt(2 * pi()), 6) + 0 AS kendall_pvalue,
+  round({_tail_sql('pearson')}, 6) + 0 AS pearson_pvalue, round({_tail_sql('spearman')}, 6) + 0 AS spearman_pvalue FROM kendall""")
 def correlation_pvalues(spark, sf):
     li = W.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("x"), F.col("l_tax").alias("y"))
-    return C.correlation_pvalues(C.correlations(li, ["g"]))
+    names = ["kendall_pvalue", "pearson_pvalue", "spearman_pvalue"]
+    return rounded(C.correlation_pvalues(C.correlations(li, ["g"])).select("g", "n", *names), *names)
+
+
+@query("correlations_by_range", "WITH " + CORR_SOURCE + correlation_ctes("raw", ["g"]) + f" SELECT g, n, {r6('kendalltau')}, {r6('pearson')}, {r6('spearman')} FROM s_stats")
+def correlations_by_range(spark, sf):
+    """Groups of many ranges: no task has more than about 2,000 cells."""
+    li = W.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    stats = C.correlations(li, ["g"], task_cells=2000)
+    return rounded(stats.select("g", "n", "kendalltau", "pearson", "spearman"), "kendalltau", "pearson", "spearman")
 
 
 _MATRIX = ", ".join(
@@ -158,14 +188,12 @@ def per_bootstrap_scores(spark, sf):
 
 PREFIX_X = W.BOOTSTRAPS
 _PREFIX_PAIRS = f"""{GOLD},
-averaged AS MATERIALIZED (SELECT {KEY_SQL}, CAST(x AS INTEGER) AS b, round(avg(value), 9) AS value FROM bootstraps JOIN (SELECT unnest(range(1, {PREFIX_X + 1})) AS x) ON bootstrap_id < x GROUP BY ALL),
+averaged AS MATERIALIZED (SELECT {KEY_SQL}, CAST(x AS INTEGER) AS b, list_reduce(list(value ORDER BY bootstrap_id), lambda s, v: s + v) / count(*) AS value FROM bootstraps JOIN (SELECT unnest(range(1, {PREFIX_X + 1})) AS x) ON bootstrap_id < x GROUP BY ALL),
 pairs AS MATERIALIZED (SELECT p.b, g.dataset, g.lang, g.metric, g.value AS x, p.value AS y FROM gold g JOIN averaged p ON {ON_KEY})"""
 
 
 def _prefix(spark, sf):
-    # Nine decimals keep all means apart; they only take away what the order of adding leaves.
-    averaged = A.prefix_average(W.bootstraps(spark, sf), PREFIX_X, KEY).withColumn("value", F.round("value", 9))
-    return E.run_scores(W.ratings(spark, sf), averaged, ["x"], W.LANG_METRICS, W.DATASETS)
+    return E.prefix_scores(W.ratings(spark, sf), W.bootstraps(spark, sf), PREFIX_X, lang_metrics=W.LANG_METRICS, datasets=W.DATASETS)
 
 
 @query("prefix_scores", with_views("ratings bootstraps", f"SELECT b AS x, scope, lang, metric, stat, {r6('value')} FROM s_scores",
