@@ -463,27 +463,105 @@ def correlation_pvalues(scores: DataFrame) -> DataFrame:
     return scores.withColumns({"kendall_pvalue": kendall, "pearson_pvalue": tail_probability(F.col("pearson"), n), "spearman_pvalue": tail_probability(F.col("spearman"), n)})
 
 
+#: Groups whose moments a task keeps before it hands them on.
+KEPT_GROUPS = 32
+
+
+def _moments(values):
+    """Pairwise counts, means and co-moments of the columns, over the rows where both are there."""
+    import numpy as np
+
+    known = ~np.isnan(values)
+    mask = known.astype(np.float64)
+    n = mask.T @ mask
+    size = np.maximum(np.diag(n), 1.0)
+    # Moved to the columns' own means first, so that the products below stay small.
+    shift = np.where(known, values, 0.0).sum(axis=0) / size
+    moved = np.where(known, values - shift, 0.0)
+    some = np.maximum(n, 1.0)
+    sums, squares, products = moved.T @ mask, (moved**2).T @ mask, moved.T @ moved
+    return n, np.where(n > 0, shift[:, None] + sums / some, 0.0), squares - sums**2 / some, products - sums * sums.T / some
+
+
+def _merged_moments(a, b):
+    """Moments of two sets of rows together, by Chan's formula for every pair of columns."""
+    import numpy as np
+
+    n = a[0] + b[0]
+    some = np.maximum(n, 1.0)
+    gap = b[1] - a[1]
+    both = a[0] * b[0] / some
+    return n, np.where(n > 0, a[1] + gap * b[0] / some, 0.0), a[2] + b[2] + gap**2 * both, a[3] + b[3] + gap * gap.T * both
+
+
 def correlation_matrix(df: DataFrame, metrics: Sequence[str], keys: Sequence[str], by: Sequence[str] = ("lang",),
                        value: str = "value", order: str | Column | None = None) -> DataFrame:
-    """Pearson between every two metrics, items lined up by key.
+    """Pearson between every two metrics, items lined up by key; each pair over the items that have both.
 
-    The wide table has one column per metric; all pair moments come out of a
-    single aggregate over it.
+    An item is one array of values. Tasks make blocks of items into matrices of pairwise
+    counts, means and co-moments by matrix products, and merge them; per pair of
+    metrics the few matrices of a group are merged once more. Any number of metrics is one
+    grouped pass. Fewer than two items give NaN, a constant side null.
     """
+    import pyarrow as pa
+
+    by, count = list(by), len(metrics)
     v = no_nan(value)
     place = (F.col(order) if isinstance(order, str) else order) if order is not None else v
-    wide = df.groupBy(*by, *keys).agg(
-        *[F.min_by(F.when(F.col("metric") == m, v), F.when(F.col("metric") == m, place)).alias(f"m{i}")
-          for i, m in enumerate(metrics)]
-    )
-    names, aggregates = [], []
-    for i, a in enumerate(metrics):
-        for j, b in enumerate(metrics):
-            both = F.col(f"m{i}").isNotNull() & F.col(f"m{j}").isNotNull()
-            p, q = F.when(both, F.col(f"m{i}")), F.when(both, F.col(f"m{j}"))
-            r = F.try_divide(F.covar_pop(p, q), F.sqrt(F.var_pop(p)) * F.sqrt(F.var_pop(q)))
-            names.append((a, b))
-            aggregates.append(F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"),
-                                       F.count_if(both).alias("n"),
-                                       F.when(F.count_if(both) < 2, F.lit(NAN)).otherwise(r).alias("pearson")))
-    return wide.groupBy(*by).agg(F.array(*aggregates).alias("_m")).select(*by, F.inline("_m"))
+    index = F.array_position(F.array(*map(F.lit, metrics)), F.col("metric"))
+    single = df.withColumn("_i", index.cast("int")).filter("_i > 0").groupBy(*by, *keys, "_i").agg(F.min_by(v, place).alias("_v"))
+    listed = single.groupBy(*by, *keys).agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_m"))
+    places = F.sequence(F.lit(1), F.lit(count))
+    items = listed.select(F.to_json(F.struct(*by)).alias("_key") if by else F.lit("").alias("_key"),
+                          F.transform(places, lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(NAN))).alias("_v"))
+    names = ["_key", "_a", "_b", "n", "mean_a", "mean_b", "aa", "bb", "ab"]
+
+    def blocks(batches):
+        import numpy as np
+
+        upper = np.triu_indices(count)
+        kept: dict = {}
+
+        def handed_on():
+            for key, (n, mean, square, product) in kept.items():
+                columns = [n[upper], mean[upper], mean.T[upper], square[upper], square.T[upper], product[upper]]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(upper[0])), pa.array(upper[0], pa.int32()), pa.array(upper[1], pa.int32()), *map(pa.array, columns)], names=names)
+            kept.clear()
+
+        for batch in batches:
+            values = np.asarray(batch.column("_v").flatten(), dtype=np.float64).reshape(-1, count)
+            groups, own = np.unique(np.array(batch.column("_key").to_pylist(), dtype=object), return_inverse=True)
+            for k, key in enumerate(groups):
+                some = _moments(values[own == k])
+                kept[key] = _merged_moments(kept[key], some) if key in kept else some
+                if len(kept) >= KEPT_GROUPS:
+                    yield from handed_on()
+        yield from handed_on()
+
+    parts = items.select("_key", "_v").mapInArrow(blocks, "_key string, _a int, _b int, n double, mean_a double, mean_b double, aa double, bb double, ab double")
+
+    def merge(s: Column, t: Column) -> Column:
+        n, both = s["n"] + t["n"], s["n"] * t["n"] / F.greatest(s["n"] + t["n"], F.lit(1.0))
+        da, db, share = t["mean_a"] - s["mean_a"], t["mean_b"] - s["mean_b"], t["n"] / F.greatest(s["n"] + t["n"], F.lit(1.0))
+        return F.struct(n.alias("n"), (s["mean_a"] + da * share).alias("mean_a"), (s["mean_b"] + db * share).alias("mean_b"),
+                        (s["aa"] + t["aa"] + da * da * both).alias("aa"), (s["bb"] + t["bb"] + db * db * both).alias("bb"), (s["ab"] + t["ab"] + da * db * both).alias("ab"))
+
+    none = F.struct(*(F.lit(0.0).alias(c) for c in names[3:]))
+    # One entry per task that saw the group, in a fixed order.
+    entries = F.sort_array(F.collect_list(F.struct(*names[3:])))
+    merged = parts.groupBy("_key", "_a", "_b").agg(F.aggregate(entries, none, merge).alias("t"))
+
+    def flat(side: str) -> Column:
+        # What rounding leaves of a constant side.
+        return F.col(f"t.{side}{side}") <= F.col("t.n") * F.pow(F.col(f"t.mean_{side}") * 1e-13, F.lit(2.0))
+
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("t.ab") / (F.sqrt("t.aa") * F.sqrt("t.bb"))))
+    pearson_value = F.when(F.col("t.n") < 2, F.lit(NAN)).when(~(flat("a") | flat("b")), r)
+    ways = F.array(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")), F.struct(F.col("_b").alias("a"), F.col("_a").alias("b")))
+    both = merged.select("_key", F.explode(F.array_distinct(ways)).alias("w"), F.col("t.n").cast("long").alias("n"), pearson_value.alias("pearson"))
+    listed_metrics = F.array(*map(F.lit, metrics))
+    named = both.select("_key", F.get(listed_metrics, F.col("w.a")).alias("metric_a"), F.get(listed_metrics, F.col("w.b")).alias("metric_b"), "n", "pearson")
+    if not by:
+        return named.drop("_key")
+    schema = T.StructType([f for c in by for f in df.schema.fields if f.name == c])
+    return named.withColumn("_by", F.from_json("_key", schema)).select("_by.*", "metric_a", "metric_b", "n", "pearson")

@@ -129,3 +129,32 @@ def test_kendall_pvalue_with_ties(spark):
         pairs, zero, one = ([sum(f(t) for t in c) for c in counts] for f in (lambda t: t * (t - 1) / 2, lambda t: t * (t - 1) * (t - 2), lambda t: t * (t - 1) * (2 * t + 5)))
         variance = (m * (2 * n + 5) - sum(one)) / 18 + 2 * pairs[0] * pairs[1] / m + zero[0] * zero[1] / (9 * m * (n - 2))
         assert out[g]["kendall_pvalue"] == pytest.approx(math.erfc(abs(s) / math.sqrt(variance) / math.sqrt(2)), abs=1e-6), g
+
+
+def test_moments_merge_over_gaps(spark):
+    """Large means, missing values, several groups and partitions against numpy."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for lang in ("en", None, "zh"):
+        base = rng.normal(size=(40, 1))
+        values = 1e6 + base * rng.normal(size=5) + rng.normal(size=(40, 5))
+        values[rng.random((40, 5)) < 0.3] = np.nan
+        values[:, 4] = 7.0
+        rows += [(lang, str(i), f"m{j}", float(values[i, j])) for i in range(40) for j in range(5)]
+    df = spark.createDataFrame(rows, "lang string, item string, metric string, value double").repartition(7)
+    out = {(r["lang"], r["metric_a"], r["metric_b"]): r for r in C.correlation_matrix(df, [f"m{j}" for j in range(6)], ["item"]).collect()}
+    assert len(out) == 3 * 36
+    for lang in ("en", None, "zh"):
+        grid = np.array([r[3] for r in rows if r[0] == lang]).reshape(40, 5)
+        for a in range(5):
+            for b in range(5):
+                both = ~np.isnan(grid[:, a]) & ~np.isnan(grid[:, b])
+                row = out[lang, f"m{a}", f"m{b}"]
+                assert row["n"] == both.sum()
+                if 4 in (a, b):
+                    assert row["pearson"] is None
+                else:
+                    assert row["pearson"] == pytest.approx(np.corrcoef(grid[both, a], grid[both, b])[0, 1], abs=1e-9)
+        assert out[lang, "m5", "m0"]["n"] == 0 and math.isnan(out[lang, "m5", "m5"]["pearson"])

@@ -152,6 +152,16 @@ def correlation_matrix(spark, sf):
     return rounded(out, "pearson")
 
 
+@query("correlation_matrix_many", """WITH cells AS MATERIALIZED (SELECT l_returnflag AS lang, l_partkey % 400 AS item, l_suppkey % 100 AS metric, min(l_quantity) AS v FROM lineitem GROUP BY ALL),
+ pairs AS (SELECT a.lang, a.metric AS a, b.metric AS b, count(*) AS n, covar_pop(a.v, b.v) AS c, stddev_pop(a.v) * stddev_pop(b.v) AS d FROM cells a JOIN cells b USING (lang, item) GROUP BY ALL)
+ SELECT l.lang, 'm' || x.a AS metric_a, 'm' || y.b AS metric_b, coalesce(n, 0) AS n, CASE WHEN n >= 2 THEN round(c / nullif(d, 0), 6) + 0 END AS pearson
+ FROM (SELECT DISTINCT lang FROM cells) l CROSS JOIN (SELECT unnest(range(100)) AS a) x CROSS JOIN (SELECT unnest(range(100)) AS b) y LEFT JOIN pairs p ON p.lang = l.lang AND p.a = x.a AND p.b = y.b""")
+def correlation_matrix_many(spark, sf):
+    """A hundred metrics, each item with some of them."""
+    rows = W.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("lang"), (F.col("l_partkey") % 400).alias("item"), F.concat(F.lit("m"), (F.col("l_suppkey") % 100).cast("string")).alias("metric"), F.col("l_quantity").cast("double").alias("value"))
+    return rounded(C.correlation_matrix(rows, [f"m{i}" for i in range(100)], ["item"]), "pearson")
+
+
 # ---------------------------------------------------------------- raters and runs
 
 
