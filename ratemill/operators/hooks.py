@@ -3,13 +3,18 @@ is loaded once per task."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ratemill.functions.values import l2_normalize
+from ratemill.session import scratch_path
+
 
 def score_with(df: DataFrame, load: Callable, column: str = "content", out: str = "response") -> DataFrame:
     """Adds ``out`` = model(list of texts). ``load()`` returns the model."""
@@ -61,40 +66,132 @@ def embed_with(df: DataFrame, load: Callable, column: str = "text", out: str = "
     return df.withColumn(out, run(F.col(column)))
 
 
+#: Words that a task adds up before it hands them on, and the unit of a stored word vector.
+KEPT_WORDS, UNIT = 50_000, 1 << 20
+
+
+def _distinct_words(column: str):
+    words = F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), r"[^\p{L}\p{N}]+")
+    return F.array_distinct(F.array_remove(words, ""))
+
+
+def _signs(word: str, size: int, seed: int):
+    """Index vector of a word: +1 and -1 by the bits of its digest."""
+    import hashlib
+
+    import numpy as np
+
+    bits = b"".join(hashlib.md5(f"{seed}|{k}|{word}".encode()).digest() for k in range(-(-size // 128)))
+    return np.unpackbits(np.frombuffer(bits, np.uint8))[:size].astype(np.int64) * 2 - 1
+
+
 def word_vectors(train: DataFrame, column: str = "text", size: int = 64, min_count: int = 2, seed: int = 7):
-    """Built-in default embedding: mean of word vectors, unit length. Trains on the
-    cluster (runs jobs) and returns a function from DataFrame to DataFrame."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Normalizer, RegexTokenizer, Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    stages = [
-        RegexTokenizer(inputCol=column, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-        Word2Vec(inputCol="_words", outputCol="_mean", vectorSize=size, minCount=min_count, seed=seed),
-        Normalizer(inputCol="_mean", outputCol="_unit"),
-    ]
-    model = Pipeline(stages=stages).fit(train.na.fill("", [column]))
+    """Built-in default embedding by random indexing; a function from DataFrame to DataFrame.
+
+    Every word has a fixed vector of random signs. A word's vector is the sum, over the texts
+    that have it, of the sign vectors of their other words; words of fewer than
+    ``min_count`` texts are left out. Tasks sum what they read, Spark adds the sums up, and
+    the table of words stays on the cluster, written to scratch (runs a job). A text is the mean of
+    its words' unit vectors, brought to unit length; without known words it is zero. Sums are whole numbers,
+    so any partitioning gives the same vectors.
+    """
+    import pyarrow as pa
+
+    spark, path = train.sparkSession, scratch_path(train.sparkSession, "words")
+
+    def sums(batches: Iterator):
+        import numpy as np
+
+        place: dict[str, int] = {}
+        signs, totals, counts = np.zeros((1024, size), np.int64), np.zeros((1024, size), np.int64), np.zeros(1024, np.int64)
+
+        def handed_on():
+            n = len(place)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size, pa.int32()), pa.array(totals[:n].reshape(-1)))
+            return pa.RecordBatch.from_arrays([pa.array(list(place), pa.string()), pa.array(counts[:n]), lists], names=["word", "n", "sums"])
+
+        for batch in batches:
+            for words in batch.column("words").to_pylist():
+                if not words:
+                    continue
+                for word in words:
+                    if word not in place:
+                        if len(place) == len(signs):
+                            signs, totals, counts = (np.concatenate([t, np.zeros_like(t)]) for t in (signs, totals, counts))
+                        place[word] = len(place)
+                        signs[place[word]] = _signs(word, size, seed)
+                own = np.array([place[w] for w in words])
+                totals[own] += signs[own].sum(axis=0) - signs[own]
+                counts[own] += 1
+                if len(place) >= KEPT_WORDS:
+                    yield handed_on()
+                    place.clear()
+                    totals[:], counts[:] = 0, 0
+        if place:
+            yield handed_on()
+
+    parts = train.select(_distinct_words(column).alias("words")).mapInArrow(sums, "word string, n long, sums array<long>")
+    added = parts.groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(size))).filter(F.col("n") >= min_count)
+    whole = F.array(*(F.col(f"s{j}").cast("double") for j in range(size)))
+    scaled = F.transform(l2_normalize(whole), lambda v: F.round(v * float(UNIT)).cast("long"))
+    added.select("word", scaled.alias("units")).write.parquet(path)
 
     def embed(df: DataFrame, out: str = "vector") -> DataFrame:
-        done = model.transform(df.na.fill("", [column]))
-        return done.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_mean", "_unit")
+        table = spark.read.parquet(path)
+        keyed = df.withColumn("_digest", F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
+        texts = keyed.select(F.col("_digest").alias("_text"), _distinct_words(column).alias("_words")).dropDuplicates(["_text"])
+        found = texts.select("_text", F.explode("_words").alias("word")).join(table, "word")
+        summed = found.groupBy("_text").agg(*(F.sum(F.col("units")[j]).alias(f"s{j}") for j in range(size)))
+        vector = l2_normalize(F.array(*(F.col(f"s{j}").cast("double") for j in range(size)))).cast("array<float>")
+        joined = keyed.join(summed.select("_text", vector.alias("_vector")), F.col("_digest") == F.col("_text"), "left")
+        return joined.withColumn(out, F.coalesce("_vector", F.array_repeat(F.lit(0.0).cast("float"), size))).drop("_digest", "_text", "_vector")
 
     return embed
 
 
+MANIFEST_SCHEMA = "batch string, embed_model string, vectors long"
+
+
+def _table(spark, path: str, schema: str) -> DataFrame:
+    """The Parquet table, or an empty one where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def cache_vectors(df: DataFrame, path: str, tag: str, model: str, embed: Callable[[DataFrame], DataFrame],
-                  columns: Sequence[str] | None = None) -> DataFrame:
-    """Vectors from ``path/tag=<tag>`` if they were made by this model for as many
-    rows, otherwise computed and written there. Runs jobs."""
+                  columns: Sequence[str] | None = None, column: str = "text", out: str = "vector") -> DataFrame:
+    """``df`` with its vectors, from the table at ``path/tag=<tag>`` as far as it has them.
+
+    Vectors are stored by the digest of their text and by model. Only texts that the model has no
+    vector for are embedded, once each, by ``embed`` (which adds ``out`` to the rows it is given), and
+    appended as a batch; a batch counts once the manifest names it, so what a
+    broken run left is not read. Runs jobs: the batches named (few rows), the count of missing texts
+    and the new batch.
+    """
     spark, folder = df.sparkSession, f"{path.rstrip('/')}/tag={tag}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-    if exists:
-        cached = spark.read.parquet(folder)
-        state = cached.agg(F.count("*").alias("n"), F.min("embed_model").alias("a"), F.max("embed_model").alias("b")).first()
-        if state["n"] == df.count() and state["a"] == state["b"] == model:
-            return cached.drop("embed_model")
-    vectors = embed(df)
-    vectors = vectors.select(*columns) if columns else vectors
-    vectors.withColumn("embed_model", F.lit(model)).write.mode("overwrite").parquet(folder)
-    return spark.read.parquet(folder).drop("embed_model")
+    keyed = df.withColumn("_digest", F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
+
+    def stored() -> DataFrame | None:
+        named = _table(spark, f"{folder}/manifest", MANIFEST_SCHEMA).filter(F.col("embed_model") == model)
+        batches = sorted({r["batch"] for r in named.select("batch").collect()})
+        if not batches:
+            return None
+        # Two runs at once may have made a vector each: they are the same.
+        return spark.read.parquet(*(f"{folder}/batch={b}" for b in batches)).dropDuplicates(["_digest"])
+
+    known = stored()
+    once = keyed.dropDuplicates(["_digest"])
+    missing = once if known is None else once.join(known.select("_digest"), "_digest", "left_anti")
+    count = missing.count()
+    if count or known is None:
+        batch = uuid.uuid4().hex
+        embed(missing).select("_digest", out).write.parquet(f"{folder}/batch={batch}")
+        spark.createDataFrame([(batch, model, count)], MANIFEST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+        known = stored()
+    joined = keyed.join(known.withColumnsRenamed({"_digest": "_text", out: "_vector"}), F.col("_digest") == F.col("_text"), "left")
+    result = joined.withColumn(out, F.col("_vector")).drop("_digest", "_text", "_vector")
+    return result.select(*columns) if columns else result
