@@ -66,6 +66,13 @@ def first_image(ids: ColumnLike, root: ColumnLike) -> Column:
     return F.concat(as_column(root), F.lit("/"), F.try_element_at(as_column(ids), F.lit(1)))
 
 
+def _whole_list(text: Column, quotes: str = "true") -> Column:
+    """The texts of a JSON list, null where anything stands before or after it."""
+    # Wrapped once more, text behind the list is an error and not ignored.
+    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<array<string>>", {"allowSingleQuotes": quotes})
+    return F.when(text.startswith("[") & (F.size(wrapped) == 1), F.try_element_at(wrapped, F.lit(1)))
+
+
 def parse_list_text(text: ColumnLike, style: str = "numbered", empty: str = "") -> Column:
     """A list kept as text (JSON or single-quoted) turned into display text.
 
@@ -73,10 +80,7 @@ def parse_list_text(text: ColumnLike, style: str = "numbered", empty: str = "")
     list comes back trimmed, and empty text as ``empty``.
     """
     cleaned = strip(F.coalesce(as_column(text), F.lit("")))
-    parsed = F.coalesce(
-        F.from_json(cleaned, "array<string>", {"allowSingleQuotes": "false"}),
-        F.from_json(cleaned, "array<string>", {"allowSingleQuotes": "true"}),
-    )
+    parsed = F.coalesce(_whole_list(cleaned, quotes="false"), _whole_list(cleaned, quotes="true"))
     items = F.filter(F.transform(parsed, strip), lambda x: x != "")
     if style == "numbered":
         joined = F.array_join(
@@ -170,7 +174,7 @@ def find_gold(text: ColumnLike) -> Column:
     """The reference answers of the target section as one line, null where there are none."""
     section = target_section(text)
     raw = strip(F.regexp_extract(section, GOLD_OF_TARGET, 1))
-    as_list = F.filter(F.transform(F.from_json(raw, "array<string>"), strip), lambda x: x != "")
+    as_list = F.filter(F.transform(_whole_list(raw, quotes="false"), strip), lambda x: x != "")
     lines = F.filter(
         F.transform(F.split(raw, r"\r\n|\n|\r"), lambda x: strip(F.regexp_replace(x, r"^\s*\d+\.\s*", ""))),
         lambda x: x != "",

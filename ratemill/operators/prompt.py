@@ -65,9 +65,9 @@ def render_example(rank: ColumnLike, query: ColumnLike, candidate: ColumnLike, l
     none = F.lit("")
     parts = [F.lit(f"{name} "), as_column(rank).cast("string"), F.lit(":\n")]
     if similarity is not None:
-        parts += [F.lit("Similarity to target: "), F.format_string("%.6f", as_column(similarity).cast("double")), F.lit("\n")]
+        parts += [F.lit("Nearness: "), F.format_string("%.6f", as_column(similarity).cast("double")), F.lit("\n")]
     if weight is not None:
-        parts += [F.lit("Normalized example weight: "), F.format_string("%.6f", as_column(weight).cast("double")), F.lit("\n")]
+        parts += [F.lit("Weight of the example: "), F.format_string("%.6f", as_column(weight).cast("double")), F.lit("\n")]
     parts += [F.lit('Query:\n"'), F.coalesce(as_column(query), none), F.lit('"\n\nLLM response:\n"'),
               F.coalesce(as_column(candidate), none), F.lit('"\n')]
     if gold is not None:
@@ -115,7 +115,7 @@ def render_prompt(metrics: Sequence[str], variant: str = "gold", query: str = "q
     reference = gold if variant in ("gold", "weighted") else None
     if variant == "evidence":
         target = F.concat(render_target(query, candidate), F.lit("\nGold doctor responses:\n"),
-                          F.coalesce(as_column(gold), F.lit("(no gold responses available)")), F.lit("\n"))
+                          F.coalesce(as_column(gold), F.lit("(none given)")), F.lit("\n"))
         return F.concat(F.lit(header(metrics, variant)), F.lit(closing(metrics)), target)
     examples = F.lit("") if variant == "zero_shot" else F.coalesce(as_column(shots), F.lit(""))
     return F.concat(F.lit(header(metrics, variant)), examples, F.lit(closing(metrics)),

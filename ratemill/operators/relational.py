@@ -91,14 +91,15 @@ def dedupe_last(df: DataFrame, keys: Sequence[str] = KEY, order: Sequence[Column
     return first_rows(df, keys, [c.desc() for c in _order(order)])
 
 
-def dedupe_nodes(nodes: DataFrame, order: Sequence[Column | str] = ("_pos",), min_length: int = 80,
-                 prefix: int = 120) -> DataFrame:
-    """One passage per (file, page, opening characters); short passages are dropped."""
+def dedupe_nodes(nodes: DataFrame, order: Sequence[Column | str] = ("_pos",), min_length: int = 0,
+                 prefix: int | None = None) -> DataFrame:
+    """One passage per (file, page, text), or per its first ``prefix`` characters;
+    passages under ``min_length`` characters are dropped."""
     cleaned = nodes.withColumn("text", collapse_ws("text")).filter(F.length("text") >= min_length)
     keyed = (
         cleaned.withColumn("_file", F.coalesce("file_name", F.lit("")))
         .withColumn("_page", F.coalesce(F.col("page_label").cast("string"), F.lit("")))
-        .withColumn("_head", F.substring("text", 1, prefix))
+        .withColumn("_head", F.substring("text", 1, prefix) if prefix else F.sha2("text", 256))
     )
     return first_rows(keyed, ["_file", "_page", "_head"], order).drop("_file", "_page", "_head")
 

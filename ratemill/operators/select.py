@@ -14,8 +14,6 @@ from ratemill.operators.relational import first_rows
 from ratemill.operators.sample import SEED, key_text
 from ratemill.operators.similar import topk_similar
 
-WARM_START = 20
-
 
 def normalize_weights(df: DataFrame, by: Sequence[str] = ("target_id",), score: str = "similarity") -> DataFrame:
     """``weight``: positive part of the similarity over its sum, uniform where
@@ -65,14 +63,16 @@ def weighted_sample(targets: DataFrame, pool: DataFrame, k: int, multiplier: int
 
 
 def mmr(targets: DataFrame, pool: DataFrame, k: int, multiplier: int = 5, trade_off: float = 0.7, bootstraps: int = 1,
-        seed: int = SEED, **options) -> DataFrame:
+        seed: int = SEED, warm_start: int | None = None, **options) -> DataFrame:
     """Greedy: relevance against the largest similarity to what is already picked.
 
-    The greedy part sees the ``k * multiplier`` nearest items of one target only.
+    The greedy part sees the ``k * multiplier`` nearest items of one target only. Bootstraps after
+    the first start from one of the ``k`` nearest, or of at most ``warm_start`` of them.
     """
+    starts = max(k, 1) if warm_start is None else min(max(k, 1), warm_start)
     near = normalize_weights(
         topk_similar(targets, pool, k * max(multiplier, 1), **options).withColumn(
-            "_warm", F.when(F.col("rank") <= min(max(k, 1), WARM_START), F.col("similarity"))),
+            "_warm", F.when(F.col("rank") <= starts, F.col("similarity"))),
         score="_warm")
     vectors = pool.select("item_id", "vector")
     spread = near.join(vectors, "item_id").withColumn(

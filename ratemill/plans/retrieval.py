@@ -17,7 +17,6 @@ EVIDENCE_NOTE = {
     "en": "Passages found by search; background only, they may not fit the question.",
     "zh": "以下内容为检索所得，仅供参考。",
 }
-MIN_QUERY = 5
 
 
 def chunk_text(docs: DataFrame, limit: int, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,11 +51,11 @@ def evidence_line(rank: Column, text: Column, file_name: Column, page: Column, s
 
 
 def format_evidence(hits: DataFrame, by: Sequence[str] = ("target_id",), style: str = "en", metadata: bool = True,
-                    max_chars: int = 1200, query: str | None = "query") -> DataFrame:
+                    max_chars: int = 1200, query: str | None = "query", min_query: int = 0) -> DataFrame:
     """Evidence text per query from its ranked passages (``rank``, ``text``,
-    ``file_name``, ``page``, ``score``). Queries under five characters get none."""
-    if query is not None:
-        hits = hits.filter(F.length(F.trim(F.col(query))) >= MIN_QUERY)
+    ``file_name``, ``page``, ``score``). Queries under ``min_query`` characters get none."""
+    if query is not None and min_query:
+        hits = hits.filter(F.length(F.trim(F.col(query))) >= min_query)
     line = evidence_line(F.col("rank"), F.col("text"), F.col("file_name"), F.col("page").cast("string"), F.col("score"),
                          style, metadata, max_chars)
     joined = hits.withColumn("_line", line).filter(F.col("_line").isNotNull()).groupBy(*by).agg(
@@ -74,13 +73,16 @@ def augment_prompts(prompts: DataFrame, evidence: DataFrame, on: Sequence[str] =
         text, F.col("_new")).drop("_new", "evidence")
 
 
-def retrieve(queries: DataFrame, nodes: DataFrame, embed, k: int = 10, n: int = 2, rescore=None) -> DataFrame:
+def retrieve(queries: DataFrame, nodes: DataFrame, embed, k: int = 10, n: int = 2, rescore=None, dedupe: bool = True,
+             min_length: int = 0, prefix: int | None = None) -> DataFrame:
     """Ranked passages per query: dedupe, embed, exact top-k, optional rescoring.
 
+    ``dedupe=False`` keeps every node; ``min_length`` and ``prefix`` as in ``dedupe_nodes``.
+
     ``queries``: target_id, query. ``nodes``: node_id, text, file_name,
     page_label, _pos. ``embed`` maps a DataFrame with ``text`` to one with ``vector``.
     """
-    passages = dedupe_nodes(nodes)
+    passages = dedupe_nodes(nodes, min_length=min_length, prefix=prefix) if dedupe else nodes
     pool = embed(passages.select(F.col("node_id").alias("item_id"), "text")).select("item_id", "vector")
     targets = embed(queries.filter(F.length("query") > 0).select("target_id", F.col("query").alias("text")))
     hits = two_stage_topk(targets.select("target_id", "vector"), pool, k, n, rescore)

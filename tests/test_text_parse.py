@@ -160,3 +160,18 @@ def test_on_error_raise(spark):
     template = spark.createDataFrame([("d", "1", "en", "c", "S", "overall", "r", 0.0)], "dataset string, encounter_id string, lang string, candidate string, candidate_author_id string, metric string, rater_id string, value double")
     with pytest.raises(ValueError):
         PA.predictions_from_outputs(outputs, template, ["overall"], on_error="raise")
+
+
+def test_text_around_a_list_stays(spark):
+    for text in ('["a"] tail', '["a"], ["b"]', "['a'] x"):
+        assert one(spark, TX.parse_list_text, text) == text
+    assert one(spark, TX.parse_list_text, ' ["a", "b]"] ') == "1. a\n2. b]"
+
+
+def test_a_quoted_boolean_is_no_number(spark):
+    from ratemill.operators.parse import parse_response
+
+    rows = [("a", '{"overall": "true"}'), ("b", '{"overall": true}'), ("c", '[{"overall": "False "}]'), ("d", '{"overall": "0.5"}')]
+    good, bad = parse_response(spark.createDataFrame(rows, "k string, response string"), ["overall"])
+    assert {(r["k"], r["value"]) for r in good.collect()} == {("b", 1.0), ("d", 0.5)}
+    assert {r["k"] for r in bad.collect()} == {"a", "c"}

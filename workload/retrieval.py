@@ -58,7 +58,7 @@ def passages(spark, sf):
 
 @query("dedupe_nodes", "WITH " + _CHUNKS + " SELECT node_id, file_name, CAST(pos % 3 AS VARCHAR) AS page_label, text FROM nodes")
 def dedupe_nodes(spark, sf):
-    return R.dedupe_nodes(passages(spark, sf)).drop("_pos")
+    return R.dedupe_nodes(passages(spark, sf), min_length=80, prefix=120).drop("_pos")
 
 
 @query("read_nodes", """SELECT CAST(doc_id AS VARCHAR) AS node_id, text, source AS file_name, CASE WHEN doc_id % 2 = 0 THEN lang ELSE CAST(doc_id AS VARCHAR) END AS page FROM documents""")
@@ -83,7 +83,7 @@ hits AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION
 
 def hits(spark, sf):
     queries = W.table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), F.col("text").alias("query"))
-    return RT.retrieve(queries, passages(spark, sf), embed, _K, _N)
+    return RT.retrieve(queries, passages(spark, sf), embed, _K, _N, min_length=80, prefix=120)
 
 
 @query("retrieve", "WITH " + _HITS + " SELECT target_id, node_id AS item_id, file_name, page, rank, round(similarity, 6) AS similarity FROM hits")
@@ -106,7 +106,7 @@ def evidence_sql(style: str) -> str:
 
 for _style in ("en", "zh"):
     query(f"format_evidence_{_style}", "WITH " + _HITS + " " + evidence_sql(_style))(
-        lambda spark, sf, s=_style: RT.format_evidence(hits(spark, sf), style=s, max_chars=200))
+        lambda spark, sf, s=_style: RT.format_evidence(hits(spark, sf), style=s, max_chars=200, min_query=5))
 
 
 # ---------------------------------------------------------------- evidence inside prompts
@@ -177,7 +177,7 @@ query("insert_evidence_after_gold_all", after_gold_sql())(_insert("after_gold"))
 @query("augment_prompts", f"WITH {_HITS}, ev AS ({evidence_sql('en')}) SELECT target_id, md5('LLM response:' || chr(10) || query || evidence) AS digest, true AS augmented FROM qv JOIN ev USING (target_id)")
 def augment_prompts(spark, sf):
     prompts = W.table(spark, sf, "benchmark").select(F.col("item_id").alias("target_id"), F.concat(F.lit("LLM response:\n"), "text").alias("content"))
-    out = RT.augment_prompts(prompts, RT.format_evidence(hits(spark, sf), max_chars=200))
+    out = RT.augment_prompts(prompts, RT.format_evidence(hits(spark, sf), max_chars=200, min_query=5))
     return out.select("target_id", F.md5("content").alias("digest"), "augmented")
 
 

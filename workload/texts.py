@@ -212,7 +212,7 @@ def prompt_sql(variant: str, stripped: bool = False) -> str:
     gold = variant in ("gold", "weighted", "evidence")
     extra = ""
     if variant == "weighted":
-        extra = " || 'Similarity to target: ' || printf('%.6f', 1.0 / rank) || chr(10) || 'Normalized example weight: ' || printf('%.6f', rank / 3.0) || chr(10)"
+        extra = " || 'Nearness: ' || printf('%.6f', 1.0 / rank) || chr(10) || 'Weight of the example: ' || printf('%.6f', rank / 3.0) || chr(10)"
     gold_part = "" if not gold else (" || chr(10)" if stripped else " || 'gold responses:' || gold || chr(10)")
     example = f"'Sample ' || CAST(rank AS VARCHAR) || ':' || chr(10){extra} || {_Q.format(q='query_text', c='candidate')}{gold_part} || 'Ratings:' || chr(10) || {_LABELS}"
     shots = "''" if variant == "zero_shot" else "coalesce(s.block, '')"
