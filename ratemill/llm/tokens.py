@@ -13,7 +13,7 @@ import numpy as np
 from ratemill.llm.memory import remembered
 
 #: Parts remembered by one worker; with so many, new ones are encoded each time they come.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 #: Stands between parts that are encoded together: one id that no other character has.
 MARK = "\x01"
 #: Characters of texts encoded at once inside a task; a longer text is a slice of its own.
