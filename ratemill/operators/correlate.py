@@ -267,6 +267,15 @@ def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(named, [left[k].eqNullSafe(named[f"_k{k}"]) for k in keys] or F.lit(True), how).drop(*(f"_k{k}" for k in keys))
 
 
+def range_number(cuts: str, value: str) -> Column:
+    """Twice the number of smaller cuts, one more at a cut; found by halving, as ``cuts`` (at most QUANTILES) are sorted and distinct."""
+    def step(at: Column, half: Column) -> Column:
+        return F.when(F.get(cuts, at + half - 1) < F.col(value), at + half).otherwise(at)
+
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(QUANTILES.bit_length()))))
+    return let(F.aggregate(halves, F.lit(0), step), lambda s: 2 * s + F.coalesce(F.get(cuts, s) == F.col(value), F.lit(False)).cast("int"))
+
+
 def _ranged_sums(cells: DataFrame, by: Sequence[str], parts: int, task_cells: int) -> DataFrame:
     """One row of sums per group where some groups have several ranges. Runs a job for the cut points."""
     by = [*by, "_all"]
@@ -287,12 +296,8 @@ def _ranged_sums(cells: DataFrame, by: Sequence[str], parts: int, task_cells: in
 
     large = cut_lineage(summary.filter(F.col("cells") > task_cells).select(*by, cuts("x"), cuts("y"), "total", "mean_x", "mean_y"))
 
-    def place(value: str) -> Column:
-        smaller = F.size(F.filter(f"cuts_{value}", lambda c: c < F.col(value)))
-        return (2 * smaller + F.array_contains(f"cuts_{value}", F.col(value)).cast("int")).alias(f"range_{value}")
-
     small = _joined(cells, large.select(*by), by, "left_anti").select(*by, "x", "y", "n", *_alone())
-    placed = _joined(cells, large, by).select(*by, "x", "y", "n", *(F.coalesce(place(v), F.lit(-1)).alias(f"range_{v}") for v in ("x", "y")), "total", "mean_x", "mean_y")
+    placed = _joined(cells, large, by).select(*by, "x", "y", "n", *(F.when(F.col(v).isNull(), F.lit(-1)).otherwise(range_number(f"cuts_{v}", v)).alias(f"range_{v}") for v in ("x", "y")), "total", "mean_x", "mean_y")
     counts = cut_lineage(placed.filter(whole).groupBy(*by, "range_x", "range_y").agg(F.sum("n").alias("n"), F.count("*").alias("cells")))
 
     def totals(value: str) -> DataFrame:
