@@ -49,3 +49,13 @@ def test_deliveries_are_remembered_as_digests(spark, tmp_path):
     assert "Deduplicate [_delivered" in means._jdf.queryExecution().analyzed().toString()
     means.writeStream.outputMode("complete").format("memory").queryName("delivered").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["runs"] for r in spark.sql("select * from delivered").collect()) == [1, 1, 1]
+
+
+def test_labels_are_sent_once_and_reach_every_vertex(spark, tmp_path):
+    from ratemill.llm.components import components
+
+    edges = [(0, i) for i in range(1, 30)] + [(100 + (i * 7) % 20, 100 + (i * 7 + 7) % 20) for i in range(20)] + [(29, 200), (200, 119)]
+    found = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), str(tmp_path)).collect()}
+    assert found == {v: 0 for v in [*range(30), *range(100, 120), 200]}
+    labels = spark.read.parquet(str(tmp_path / "labels-0"))
+    assert labels.columns == ["id", "before", "component"] and labels.filter("before = component").count() > 0
