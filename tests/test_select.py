@@ -336,3 +336,20 @@ def test_draws_with_replacement_are_even_and_null_safe(spark):
             # Chi square with 29 degrees of freedom: 60 is beyond the 0.999 quantile.
             assert size == 1 or sum((c - chance) ** 2 / chance for c in counts) < 60
     assert all(k % 2 if f is None else k % 2 == 0 for f, _, k in per)
+
+
+def test_neighbours_hold_few_similarities_at_once(spark):
+    """A chunk shrinks as the pool's block grows, and its borders change no neighbour."""
+    import numpy as np
+
+    from ratemill.operators import similar
+
+    assert all(similar.chunk_rows(n) * n <= max(similar.SCORES, n) for n in (1, 2000, 20_000, 10_000_000))
+    pool = np.random.default_rng(3).integers(-9, 9, (4000, 4)).astype(float)
+    items = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(pool)], "item_id long, vector array<double>")
+    targets = items.filter("item_id < 1200").withColumnRenamed("item_id", "target_id")
+    assert similar.chunk_rows(len(pool)) < 1200
+    got = {(r["target_id"], r["rank"]): r["item_id"] for r in similar.topk_similar(targets, items, 3, block_rows=10_000).collect()}
+    scores = pool[:1200] @ pool.T
+    for t in range(1200):
+        assert [got[t, k] for k in (1, 2, 3)] == sorted(range(len(pool)), key=lambda i: (-scores[t, i], i))[:3]
