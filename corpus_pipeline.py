@@ -17,6 +17,8 @@ from ratemill.session import scratch_path
 ORACLE_SQL = None
 #: Texts with this score or more are rejected.
 REJECTED = 0.7
+#: Parts of texts whose ids a worker remembers while packing, beside what earlier stages left in its memory.
+REMEMBERED = 100_000
 
 
 def whole(docs: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), 0, scratch_path(spark, "pieces"), capacity=2048)
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), 0, scratch_path(spark, "pieces"), capacity=2048, remember=REMEMBERED)
 
 
 STAGES = [("toxicity", toxicity_stage), ("near_dedup", near_dedup_stage), ("decontamination", decontamination_stage), ("pii", pii_stage), ("packing", packing_stage)]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ratemill.llm.tokens import encoder, slices
+from ratemill.llm.tokens import SLICE, encoder, slices
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
 
@@ -127,16 +127,16 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, capacity if s >= first else first) for s in starts]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False, remember: int | None = None) -> DataFrame:
     """Every document's ids and ``end_id`` in pieces, numbered by length inside each task."""
     import pyarrow as pa
 
     def cut_all(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        for (doc_ids,), texts in slices(batches, ["doc_id"]):
+        for (doc_ids,), texts in slices(batches, ["doc_id"], most=SLICE if remember is None else min(SLICE, 5 * remember)):
             rows = []
-            for doc_id, ids in zip(doc_ids, encoder(tokenizer).encode(texts)):
+            for doc_id, ids in zip(doc_ids, encoder(tokenizer, remember).encode(texts)):
                 ids += end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     own = ids[4 * start: 4 * (start + length)]
@@ -151,19 +151,21 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
     return docs.select("doc_id", "text").mapInArrow(cut_all, PIECE_SCHEMA + (", ids binary" if with_ids else ""))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, scratch: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, scratch: str, capacity: int = 2048, with_ids: bool = False,
+                   remember: int | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece; ``ids`` on demand.
 
     Pieces are written to ``scratch``, in the shared folder, so that their numbers
     stay as they are when an executor is lost. Null texts are empty and take one
     token, the end; repeated rows are packed as often as they come; other columns are
     not read; an empty table gives an empty result. The driver sees the histogram
-    only; tasks get the plan, whose size is bounded by ``capacity``.
+    only; tasks get the plan, whose size is bounded by ``capacity``. With ``remember``
+    a worker holds the ids of so many parts of texts, and five characters for each at once: less memory, more time.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
-    pieces(docs, tokenizer, end_id, capacity, with_ids).write.mode("overwrite").parquet(scratch)
+    pieces(docs, tokenizer, end_id, capacity, with_ids, remember).write.mode("overwrite").parquet(scratch)
     cuts = spark.read.schema(PIECE_SCHEMA + (", ids binary" if with_ids else "")).parquet(scratch)
     counts = cuts.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
 import re
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ REMEMBERED = 900_000
 MARK = "\x01"
 #: Characters of texts encoded at once inside a task; a longer text is a slice of its own.
 SLICE = 2_000_000
+#: Characters that the library gets in one call of an encoder with bounded memory; a longer text is a call of its own.
+CALL = 100_000
 #: Fixed pattern of the word-end tokenizer: none of its alternatives holds white space.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -58,7 +61,7 @@ class Encoder:
     space beside a space go to the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int | None = None) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -71,9 +74,19 @@ class Encoder:
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes] = {}
+        self.most = most
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """Where less is remembered, few texts go in one call: what the library returns takes many times the room of the ids."""
+        most, out = math.inf if self.most is None else CALL, []
+        start = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= most or i + 1 == len(texts):
+                part = self.library.encode_batch_fast(texts[start:i + 1], add_special_tokens=False)
+                out += [np.array(e.ids, dtype="<u4").tobytes() for e in part]
+                start, size = i + 1, 0
+        return out
 
     def _parted(self, parts: list[str], prefix: str) -> list[bytes]:
         """Ids of many parts from few calls, with a mark between them that no part holds."""
@@ -106,7 +119,7 @@ class Encoder:
         memory.update([(p, (known[q] if q in known else memory[q]) + self.marks[m]) for p, q, m in marked])
 
     def _forget(self, memory: dict[str, bytes | None], parts: set[str]) -> None:
-        if len(memory) > REMEMBERED:
+        if len(memory) > (REMEMBERED if self.most is None else self.most):
             for part in parts:
                 del memory[part]
 
@@ -150,11 +163,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and file, as long as no other operator comes."""
-    own = remembered(f"encoder of {path}")
+def encoder(path: str, most: int | None = None) -> Encoder:
+    """One encoder per worker and file that remembers ``most`` parts (None: REMEMBERED), as long as no other operator comes."""
+    own = remembered(f"encoder of {path}, {most}")
     if not own:
-        own["encoder"] = Encoder(path)
+        own["encoder"] = Encoder(path, most)
     return own["encoder"]
 
 

@@ -131,3 +131,16 @@ def test_packing_of_documents(docs_of, odd_rows, scratch):
     for own in bins.values():
         assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 64
     assert packing.pack_documents(docs_of([]), path, 0, scratch + "0").count() == 0
+
+
+def test_packing_remembers_no_more_than_it_is_told(spark, docs_of, scratch):
+    """What a worker remembers is bounded by the caller, and the pieces do not depend on it."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(40)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Encoder(path, 100)
+    assert own.encode([t for _, t in rows[:2]]) == Encoder(path).encode([t for _, t in rows[:2]])
+    for _, text in rows[2:]:
+        own.encode([text])
+    assert len(own.later) <= 100 + 59 and len(own.first) <= 100 + 1
+    few, all_ = ({(r["doc_id"], r["piece"], r["ids_crc32"], r["length"]) for r in packing.pack_documents(docs_of(rows), path, 0, f"{scratch}-{n}", 64, remember=n).collect()} for n in (10, None))
+    assert few == all_
