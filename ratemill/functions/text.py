@@ -172,17 +172,20 @@ def find_query(text: ColumnLike) -> Column:
 
 def find_gold(text: ColumnLike) -> Column:
     """The reference answers of the target section as one line, null where there are none."""
-    section = target_section(text)
-    raw = strip(F.regexp_extract(section, GOLD_OF_TARGET, 1))
-    as_list = F.filter(F.transform(_whole_list(raw, quotes="false"), strip), lambda x: x != "")
-    lines = F.filter(
-        F.transform(F.split(raw, r"\r\n|\n|\r"), lambda x: strip(F.regexp_replace(x, r"^\s*\d+\.\s*", ""))),
-        lambda x: x != "",
-    )
-    value = F.when(raw.startswith("[") & as_list.isNotNull(), F.array_join(as_list, " ")).otherwise(
-        F.array_join(lines, " ")
-    )
-    return F.when(F.regexp_like(section, F.lit(GOLD_OF_TARGET)), value)
+    def one_line(raw: Column) -> Column:
+        as_list = F.filter(F.transform(_whole_list(raw, quotes="false"), strip), lambda x: x != "")
+        lines = F.filter(
+            F.transform(F.split(raw, r"\r\n|\n|\r"), lambda x: strip(F.regexp_replace(x, r"^\s*\d+\.\s*", ""))),
+            lambda x: x != "",
+        )
+        listed = F.when(raw.startswith("["), as_list)
+        return let(listed, lambda kept: F.when(kept.isNotNull(), F.array_join(kept, " ")).otherwise(F.array_join(lines, " ")))
+
+    def of_section(section: Column) -> Column:
+        raw = strip(F.regexp_extract(section, GOLD_OF_TARGET, 1))
+        return F.when(F.regexp_like(section, F.lit(GOLD_OF_TARGET)), let(raw, one_line))
+
+    return let(target_section(text), of_section)
 
 
 def retrieval_query(text: ColumnLike, mode: str = "both") -> Column:
@@ -192,10 +195,10 @@ def retrieval_query(text: ColumnLike, mode: str = "both") -> Column:
     if mode == "gold":
         return gold
     if mode == "both":
-        some_query = F.when(query != "", query)
-        some_gold = F.when(gold != "", gold)
-        joined = F.concat_ws(" ", some_query, some_gold)
-        return F.when(joined != "", joined)
+        def some(found: Column) -> Column:
+            return let(found, lambda part: F.when(part != "", part))
+
+        return some(F.concat_ws(" ", some(query), some(gold)))
     raise ValueError(f"unknown mode {mode!r}")
 
 
