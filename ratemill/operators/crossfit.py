@@ -25,13 +25,27 @@ def text_classifier(features: int = 4096, iterations: int = 10):
     ])
 
 
+def written(model, path: str):
+    """The model as its files give it back, if its kind can be written.
+
+    A fitted one keeps its training summary, and with it the session, which tasks would have to be sent
+    and cannot be once it has seen an observation.
+    """
+    from pyspark.ml.util import MLWritable
+
+    if not isinstance(model, MLWritable):
+        return model
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def cross_fit(df: DataFrame, metrics: Sequence[str], folds: Sequence[int], estimator=None, prepare=None) -> DataFrame:
     """Every row predicted by the model that did not see its fold.
 
     ``df``: text, label, metric, fold. One model per (metric, fold), trained on
     Spark; ``prepare`` may change the training rows (oversampling). A fold whose
     training rows hold one class only gets that class; one without labelled training
-    rows, and rows of no listed metric and fold, get null. The rows and the predictions of
+    rows, and rows of no listed metric and fold, get null. The rows, the models and the predictions of
     every model go to scratch; runs jobs.
     """
     estimator = estimator or text_classifier()
@@ -55,7 +69,7 @@ def cross_fit(df: DataFrame, metrics: Sequence[str], folds: Sequence[int], estim
                 add(held.withColumn("prediction", F.lit(None if span["a"] is None else float(span["a"]))))
             else:
                 model = estimator.fit(train.withColumn("label", F.col("label").cast("double")))
-                add(model.transform(held))
+                add(written(model, f"{path}/model={len(parts)}").transform(held))
     # Rows of other metrics and folds, and those without either, have no model.
     asked = F.coalesce(F.col("metric").isin(list(metrics)) & F.col("fold").isin(list(folds)), F.lit(False))
     add(df.filter(~asked).withColumn("prediction", F.lit(None)))

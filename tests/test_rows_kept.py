@@ -39,6 +39,14 @@ def test_every_row_comes_back_from_cross_fitting(spark):
     assert out == {"a b": None, "a c": 1.0, "a d": None, "a e": None, "f": None}
 
 
+def test_cross_fitting_after_an_observation(spark, tmp_path):
+    """A session that has seen one cannot be sent to tasks; a fitted model must not carry it along."""
+    write_failures(spark.range(3).withColumn("error", F.lit("x")), str(tmp_path / "f"))
+    df = spark.createDataFrame([("bad awful" if i % 2 else "good fine", i % 2, "m", i // 2 % 2) for i in range(40)], "text string, label int, metric string, fold int")
+    out = cross_fit(df, ["m"], [0, 1])
+    assert out.count() == 40 and out.filter("prediction = label").count() == 40
+
+
 def test_answers_of_any_length_are_digests(spark):
     out = short_candidate(spark.createDataFrame([("x",), ("y" * 100,), (None,)], "candidate string")).collect()
     assert [r[0] and len(r[0]) for r in out] == [64, 64, None]
