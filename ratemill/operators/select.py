@@ -13,6 +13,7 @@ from ratemill.operators.grouped import map_sorted_groups
 from ratemill.operators.relational import first_rows
 from ratemill.operators.sample import SEED, key_text
 from ratemill.operators.similar import topk_similar
+from ratemill.session import scratch_path
 
 
 def normalize_weights(df: DataFrame, by: Sequence[str] = ("target_id",), score: str = "similarity") -> DataFrame:
@@ -244,8 +245,10 @@ def metric_bin_coverage(items: DataFrame, keys: Sequence[str], metrics: Sequence
 def agreement_score_balanced(items: DataFrame, agreeing: DataFrame, keys: Sequence[str], metrics: Sequence[str], k: int,
                              **options) -> DataFrame:
     """``score_balanced`` on the items whose raters agree; too few of them is an
-    error (runs a job)."""
-    pool = items.join(agreeing, list(keys), "left_semi")
+    error. They are found once and go to scratch (runs jobs)."""
+    agreed, path = items.join(agreeing, list(keys), "left_semi"), scratch_path(items.sparkSession, "agreed")
+    agreed.write.parquet(path)
+    pool = items.sparkSession.read.schema(agreed.schema).parquet(path)
     found = pool.count()
     if found < k:
         raise ValueError(f"only {found} items pass the agreement filter, {k} are needed")

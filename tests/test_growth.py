@@ -34,6 +34,18 @@ def test_a_task_groups_few_enough_rows_of_many_sources(spark, tmp_path):
     assert W.sources(spark, str(tmp_path)).rdd.getNumPartitions() >= 12
 
 
+def test_agreeing_items_are_joined_once(spark):
+    """What follows reads them from scratch; before, counts and picks each joined them anew."""
+    from ratemill.operators import select as X
+
+    items = spark.createDataFrame([(f"e{i}", "d0", i % 2, (i % 3) / 2) for i in range(12)], "encounter_id string, dataset string, fold int, m double")
+    agreeing = items.filter("encounter_id <> 'e3'").select("encounter_id")
+    out = X.agreement_score_balanced(items, agreeing, ["encounter_id"], ["m"], 3, unique=True)
+    assert "LeftSemi" not in out._jdf.queryExecution().executedPlan().toString()
+    direct = X.score_balanced(items.filter("encounter_id <> 'e3'"), ["encounter_id"], ["m"], 3, unique=True)
+    assert out.count() == 6 and out.exceptAll(direct).isEmpty() and direct.exceptAll(out).isEmpty()
+
+
 def test_buckets_of_the_same_vertices_give_the_same_pairs(spark):
     rows = [(bucket, v, 10, v, -1) for bucket in range(12) for v in range(40)]
     open_ = spark.createDataFrame(rows, "bucket long, vertex long, n_shingles long, component long, main long")
