@@ -348,7 +348,7 @@ def parse_failures(spark, sf):
 @query("read_outputs", with_views("items", "SELECT bootstrap_id, fold, count(*) AS n FROM outs GROUP BY ALL", _OUT))
 def read_outputs(spark, sf):
     path = scratch_path(spark, "outputs")
-    raw_outputs(outputs(spark, sf)).write.json(path)
+    raw_outputs(outputs(spark, sf)).write.option("compression", "gzip").json(path)
     return PA.flatten_outputs(readers.read_outputs(spark, path)).groupBy("bootstrap_id", "fold").agg(F.count("*").alias("n"))
 
 
