@@ -4,6 +4,7 @@ is loaded once per task."""
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -68,6 +69,9 @@ def embed_with(df: DataFrame, load: Callable, column: str = "text", out: str = "
 
 #: Words that a task adds up before it hands them on, and the unit of a stored word vector.
 KEPT_WORDS, UNIT = 50_000, 1 << 20
+#: Words of texts in a block, repeats between texts included, and different ones; the text that passes either is the last one.
+BLOCK_WORDS, BLOCK_DISTINCT = 1_000_000, 100_000
+WORD_BLOCK = "block long, texts array<string>, starts array<int>, columns array<int>, words array<string>"
 
 
 def _distinct_words(column: str):
@@ -85,6 +89,60 @@ def _signs(word: str, size: int, seed: int):
     return np.unpackbits(np.frombuffer(bits, np.uint8))[:size].astype(np.int64) * 2 - 1
 
 
+def word_blocks(texts: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
+    """Blocks of ``_text, _words`` with each word once: ``columns`` are places in ``words``, those of a text begin at its ``starts``.
+
+    A block ends with the text that brings it to ``most`` words or to BLOCK_DISTINCT different ones.
+    """
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def rows(batches: Iterator):
+        number = TaskContext.get().partitionId() << 32
+        names, starts, columns, place = [], [0], array("i"), {}
+
+        def block():
+            values = [[number], [names], [starts], [columns], [list(place)]]
+            types = [pa.int64(), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 2, pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=[c.split()[0] for c in WORD_BLOCK.split(", ")])
+
+        for batch in batches:
+            for text, words in zip(batch.column("_text"), batch.column("_words")):
+                names.append(text.as_py())
+                columns.extend(place.setdefault(w, len(place)) for w in words.as_py())
+                starts.append(len(columns))
+                if len(columns) >= most or len(place) >= BLOCK_DISTINCT:
+                    yield block()
+                    number, names, starts, columns, place = number + 1, [], [0], array("i"), {}
+        if names:
+            yield block()
+
+    return texts.select("_text", "_words").mapInArrow(rows, WORD_BLOCK)
+
+
+def block_sums(blocks: DataFrame, table: DataFrame, size: int) -> DataFrame:
+    """``_text, _sums``: the sum of the ``units`` of its words that ``table`` has.
+
+    A block asks for each of its words once, however many of its texts have it, and adds up itself. So what is
+    shuffled does not depend on how the words of a text lie over partitions.
+    """
+    import pyarrow as pa
+
+    def summed(key, texts, found):
+        import numpy as np
+
+        starts, columns = (texts.column(c)[0].values.to_numpy() for c in ("starts", "columns"))
+        units = np.zeros((int(columns.max()) + 1, size), np.int64)
+        units[found.column("place").to_numpy()] = found.column("units").combine_chunks().flatten().to_numpy().reshape(-1, size)
+        sums = np.concatenate([units[columns[a:b]].sum(axis=0) for a, b in zip(starts[:-1], starts[1:])])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts), dtype=np.int32) * size), pa.array(sums))
+        return pa.table([texts.column("texts")[0].values, lists], names=["_text", "_sums"])
+
+    asked = blocks.select(F.col("block").alias("asker"), F.posexplode("words").alias("place", "word"))
+    found = asked.join(table, "word").select("asker", "place", "units")
+    return blocks.drop("words").groupBy("block").cogroup(found.groupBy("asker")).applyInArrow(summed, "_text string, _sums array<long>")
+
+
 def word_vectors(train: DataFrame, column: str = "text", size: int = 64, min_count: int = 2, seed: int = 7):
     """Built-in default embedding by random indexing; a function from DataFrame to DataFrame.
 
@@ -92,7 +150,8 @@ def word_vectors(train: DataFrame, column: str = "text", size: int = 64, min_cou
     that have it, of the sign vectors of their other words; words of fewer than
     ``min_count`` texts are left out. Tasks sum what they read, Spark adds the sums up, and
     the table of words stays on the cluster, written to scratch (runs a job). A text is the mean of
-    its words' unit vectors, brought to unit length; without known words it is zero. Sums are whole numbers,
+    its words' unit vectors, brought to unit length; without known words it is zero. Texts to embed are written
+    to scratch in blocks, which runs a job each time. Sums are whole numbers,
     so any partitioning gives the same vectors.
     """
     import pyarrow as pa
@@ -137,12 +196,12 @@ def word_vectors(train: DataFrame, column: str = "text", size: int = 64, min_cou
     added.select("word", scaled.alias("units")).write.parquet(path)
 
     def embed(df: DataFrame, out: str = "vector") -> DataFrame:
-        table = spark.read.parquet(path)
         keyed = df.withColumn("_digest", F.sha2(F.coalesce(F.col(column), F.lit("")), 256))
-        texts = keyed.select(F.col("_digest").alias("_text"), _distinct_words(column).alias("_words")).dropDuplicates(["_text"])
-        found = texts.select("_text", F.explode("_words").alias("word")).join(table, "word")
-        summed = found.groupBy("_text").agg(*(F.sum(F.col("units")[j]).alias(f"s{j}") for j in range(size)))
-        vector = l2_normalize(F.array(*(F.col(f"s{j}").cast("double") for j in range(size)))).cast("array<float>")
+        texts = keyed.select(F.col("_digest").alias("_text"), _distinct_words(column).alias("_words")).filter(F.size("_words") > 0).dropDuplicates(["_text"])
+        blocks = scratch_path(spark, "word-blocks")
+        word_blocks(texts).write.parquet(blocks)
+        summed = block_sums(spark.read.schema(WORD_BLOCK).parquet(blocks), spark.read.parquet(path), size)
+        vector = l2_normalize(F.transform("_sums", lambda s: s.cast("double"))).cast("array<float>")
         joined = keyed.join(summed.select("_text", vector.alias("_vector")), F.col("_digest") == F.col("_text"), "left")
         return joined.withColumn(out, F.coalesce("_vector", F.array_repeat(F.lit(0.0).cast("float"), size))).drop("_digest", "_text", "_vector")
 
