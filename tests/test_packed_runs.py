@@ -57,3 +57,13 @@ def test_sources_listed_elsewhere_need_not_have_rows(spark):
     listed = sources.unionByName(sources.withColumn("method", F.lit("b"))).select(*P.SOURCE)
     direct, wider = (P.score_sources(sources, gold, {"en": ["m"]}, ["d0"], one) for one in (None, listed))
     assert direct.count() == 9 and sorted(map(str, direct.collect())) == sorted(map(str, wider.collect()))
+
+
+def test_human_ratings_are_dealt_before_they_are_averaged(spark):
+    """Before, a task added up nearly all keys of its file split first, which filled its memory and then its disk."""
+    gold = _rated(spark, [("1", 0.0), ("1", 1.0), ("1", float("nan")), (None, 0.25), (None, None), ("3", None)])
+    means = E.mean_ratings(gold)
+    assert sorted(str(r["value"]) for r in means.collect()) == ["0.25", "0.5", "None"]
+    lines = [line for line in means._jdf.queryExecution().executedPlan().toString().splitlines() if "HashAggregate" in line or "Exchange" in line]
+    last = max(i for i, line in enumerate(lines) if "Exchange" in line)
+    assert not any("HashAggregate" in line for line in lines[last + 1:])
